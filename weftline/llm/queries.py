@@ -4,16 +4,42 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from weftline.llm import canon
+from pyspark.sql import functions as F
+
+from weftline.llm import canon, collapse, components
+from weftline.llm.pairs import is_empty
 from weftline.plans.runtime import table
 
+SHARES = {"train": 0.9, "validation": 0.05, "test": 0.05}
+LINKS = ["comment_id_parent", "comment_id_child"]
+
+
+def pair_records(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """clean_pairs and the readable lines of pair_lines: (pair_id, parent, response)."""
+    clean = table(spark, sf_dir, "clean_pairs", "pair_id", "parent", "response")
+    return clean.union(collapse.read_lines(table(spark, sf_dir, "pair_lines", "pair_id", "line"), "pair_id", "line", ["parent", "response"]))
+
+
+def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    records = pair_records(spark, sf_dir).filter(~is_empty(F.col("response")))
+    return collapse.copies(records, "pair_id", ["parent", "response"]).select("keep_id", "copy_id")
+
 
 def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return canon.look_alike_pairs(table(spark, sf_dir, "raw_pairs", "row_id", "parent_comment", "child_comment"), "row_id", "parent_comment", "child_comment")
 
 
+def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return components.Entities(table(spark, sf_dir, "raw_pairs", "row_id", "post_title", *LINKS), "row_id", "post_title", LINKS).mixed()
+
+
+def p5_split_sizes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = components.assign_splits(table(spark, sf_dir, "raw_pairs", "row_id", "post_title", *LINKS), "row_id", "post_title", LINKS, SHARES)
+    return out.groupBy("split").agg(F.count("*").alias("n_rows"), F.count_distinct("group_id").alias("n_groups"))
+
+
 def queries() -> dict:
-    return {"p4_found": p4_found}
+    return {"p2_found": p2_found, "p4_found": p4_found, "p5_found": p5_found, "p5_split_sizes": p5_split_sizes}
 
 
 def oracle_sql() -> dict:
