@@ -4,8 +4,8 @@ The mapping is built once from the Unicode database (widths, blanks, invisible c
 base-and-accent clusters) and from a short table of look-alike letters. It is checked for
 conflicts when compiled: a character belongs to one class, and no output is itself an input.
 Applying it is one longest-match pass over grapheme clusters, then each word is written in the
-one script that its unmistakable letters show (a word without any takes the script of the
-text, a text without any is written in Cyrillic).
+one script that its unmistakable letters show (a word without any takes the script of its
+sentence, a sentence without any that of the text, a text without any is written in Cyrillic).
 
 Seen differences stay: case, punctuation, number of spaces, tabs, line ends, entities.
 
@@ -124,6 +124,7 @@ class Transducer:
         self.cluster = re.compile(rf"\w(?:{cls(gone)}*[{MARKS}])+|{cls(self.single)}")
         self.suspect = re.compile(r"[^\t\n\r\x20-\x7eа-яёА-ЯЁ«»—–№…“”„]")
         self.word = re.compile(r"[^\W\d_]+")
+        self.sentence = re.compile(r"[^.!?\n]+")
         both = self.to_latin.keys() & self.to_cyrillic.keys()
         latin = "".join(x for x in map(chr, range(0x41, 0x7B)) if x.isalpha() and x not in both)
         cyrillic = "".join(x for x in map(chr, range(0x400, 0x530)) if x.isalpha() and x not in both)
@@ -152,16 +153,19 @@ class Transducer:
             return text  # one script, unmistakably, and nothing unusual: the form is the text
         text = self.cluster.sub(self._cluster, text)
         whole = self._script(text, "cyrillic")
-        cache = self.words
+        return self.sentence.sub(lambda m: self._sentence(m.group(), whole), text)
+
+    def _sentence(self, text: str, whole: str) -> str:
+        script, cache = self._script(text, whole), self.words
 
         def resolve(m: re.Match) -> str:
             w = m.group()
-            if (x := cache.get((w, whole))) is None:
+            if (x := cache.get((w, script))) is None:
                 x = unicodedata.normalize("NFC", w)
-                x = x.translate(self.tables[self._script(x, whole)])
+                x = x.translate(self.tables[self._script(x, script)])
                 if len(cache) > 200_000:
                     cache.clear()
-                cache[w, whole] = x
+                cache[w, script] = x
             return x
 
         return self.word.sub(resolve, text)

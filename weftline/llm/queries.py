@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from pyspark.sql import functions as F
 
-from weftline.llm import canon, collapse, components
+from weftline.llm import canon, collapse, components, winnow
 from weftline.llm.pairs import is_empty
 from weftline.plans.runtime import table
 
@@ -20,6 +20,25 @@ def pair_records(spark: SparkSession, sf_dir: str) -> DataFrame:
     return clean.union(collapse.read_lines(table(spark, sf_dir, "pair_lines", "pair_id", "line"), "pair_id", "line", ["parent", "response"]))
 
 
+def _eval_overlaps(spark: SparkSession, sf_dir: str) -> DataFrame:
+    train = table(spark, sf_dir, "sft_pairs", "sft_id", "parent")
+    evals = table(spark, sf_dir, "eval_stage3_exclude", "id", "prompt")
+    return winnow.overlaps(train, "sft_id", "parent", evals, "id", "prompt")
+
+
+def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _eval_overlaps(spark, sf_dir).select("eval_id", F.col("train_id").alias("sft_id"))
+
+
+def p1_report(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Overlaps by evaluation split and training source; sources are compared without case and outer blanks."""
+    pairs = _eval_overlaps(spark, sf_dir)
+    sources = table(spark, sf_dir, "sft_pairs", F.col("sft_id").alias("train_id"), F.lower(F.trim("source")).alias("source"))
+    splits = table(spark, sf_dir, "eval_stage3_exclude", F.col("id").alias("eval_id"), "split")
+    joined = pairs.join(sources, "train_id").join(splits, "eval_id")
+    return joined.groupBy("split", "source").agg(F.count("*").alias("n_pairs"), F.count_distinct("train_id").alias("n_rows"), F.count_distinct("eval_id").alias("n_evals"), F.round(F.avg("coverage"), 4).alias("avg_coverage"))
+
+
 def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     records = pair_records(spark, sf_dir).filter(~is_empty(F.col("response")))
     return collapse.copies(records, "pair_id", ["parent", "response"]).select("keep_id", "copy_id")
@@ -39,7 +58,7 @@ def p5_split_sizes(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {"p2_found": p2_found, "p4_found": p4_found, "p5_found": p5_found, "p5_split_sizes": p5_split_sizes}
+    return {"p1_found": p1_found, "p1_report": p1_report, "p2_found": p2_found, "p4_found": p4_found, "p5_found": p5_found, "p5_split_sizes": p5_split_sizes}
 
 
 def oracle_sql() -> dict:
