@@ -5,48 +5,55 @@ from __future__ import annotations
 import numpy as np
 
 
-def linear_fit(index: np.ndarray, dense: np.ndarray, labels: np.ndarray, size: int, epochs: int = 12, rate: float = 0.3, l2: float = 1e-6, batch: int = 512, seed: int = 7) -> tuple[np.ndarray, np.ndarray]:
-    """Multi-label logistic regression by AdaGrad on hashed features (rows of `index`, -1 for none) and dense ones.
+class Sparse:
+    """Rows of feature numbers, laid end to end."""
+
+    def __init__(self, rows: list[list[int]]) -> None:
+        self.sizes = np.array([len(r) for r in rows], np.int64)
+        self.flat = np.fromiter((x for r in rows for x in r), np.int64, int(self.sizes.sum()))
+        self.starts = np.concatenate([[0], np.cumsum(self.sizes)])
+
+    def take(self, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Feature numbers of the given rows, and for each the place of its row among them."""
+        sizes = self.sizes[at]
+        row = np.repeat(np.arange(len(at)), sizes)
+        place = np.arange(len(row)) - np.repeat(np.cumsum(sizes) - sizes, sizes) + np.repeat(self.starts[at], sizes)
+        return self.flat[place], row
+
+
+def _sums(values: np.ndarray, group: np.ndarray, n: int) -> np.ndarray:
+    return np.stack([np.bincount(group, c, n) for c in values.T], 1).astype(np.float32)
+
+
+def linear_fit(rows: Sparse, dense: np.ndarray, labels: np.ndarray, at: np.ndarray, size: int, epochs: int = 10, rate: float = 0.3, l2: float = 1e-6, batch: int = 512, seed: int = 7) -> tuple[np.ndarray, np.ndarray]:
+    """Multi-label logistic regression by AdaGrad on hashed and dense features of the rows `at`.
 
     Returns weights (size, labels) and (dense columns, labels).
     """
     rng = np.random.default_rng(seed)
-    n, k = labels.shape
-    w, v = np.zeros((size + 1, k), np.float32), np.zeros((dense.shape[1], k), np.float32)
+    k = labels.shape[1]
+    w, v = np.zeros((size, k), np.float32), np.zeros((dense.shape[1], k), np.float32)
     gw, gv = np.full_like(w, 1e-6), np.full_like(v, 1e-6)
-    scale = 1 / np.sqrt(np.maximum(1, (index >= 0).sum(1, keepdims=True))).astype(np.float32)
     for _ in range(epochs):
-        order = rng.permutation(n)
-        for at in range(0, n, batch):
-            b = order[at : at + batch]
-            ix, s = index[b], scale[b]
-            p = 1 / (1 + np.exp(-np.clip(w[ix].sum(1) * s + dense[b] @ v, -30, 30)))
+        order = rng.permutation(at)
+        for i in range(0, len(order), batch):
+            b = order[i : i + batch]
+            p = 1 / (1 + np.exp(-np.clip(linear_score(rows, dense, b, w, v), -30, 30)))
             e = ((p - labels[b]) / len(b)).astype(np.float32)
-            used, back = np.unique(ix, return_inverse=True)
-            g = np.zeros((len(used), k), np.float32)
-            es = e * s
-            np.add.at(g, back.reshape(ix.shape), np.broadcast_to(es[:, None, :], (*ix.shape, k)))
-            g += l2 * w[used]
+            f, row = rows.take(b)
+            used, back = np.unique(f, return_inverse=True)
+            g = _sums((e / np.sqrt(np.maximum(1, rows.sizes[b]))[:, None])[row], back, len(used)) + l2 * w[used]
             gw[used] += g * g
             w[used] -= rate * g / np.sqrt(gw[used])
-            w[-1] = 0
             g = dense[b].T @ e + l2 * v
             gv += g * g
             v -= rate * g / np.sqrt(gv)
     return w, v
 
 
-def linear_score(index: np.ndarray, dense: np.ndarray, w: np.ndarray, v: np.ndarray) -> np.ndarray:
-    scale = 1 / np.sqrt(np.maximum(1, (index >= 0).sum(1, keepdims=True)))
-    return w[index].sum(1) * scale + dense @ v
-
-
-def padded(rows: list[list[int]], width: int) -> np.ndarray:
-    """Rows of feature numbers as a matrix, filled up with -1; rows longer than `width` are folded in by chunks' union."""
-    out = np.full((len(rows), max(width, max(map(len, rows), default=1))), -1, np.int32)
-    for i, r in enumerate(rows):
-        out[i, : len(r)] = r
-    return out
+def linear_score(rows: Sparse, dense: np.ndarray, at: np.ndarray, w: np.ndarray, v: np.ndarray) -> np.ndarray:
+    f, row = rows.take(at)
+    return _sums(w[f], row, len(at)) / np.sqrt(np.maximum(1, rows.sizes[at]))[:, None].astype(np.float32) + dense[at] @ v
 
 
 def best_threshold(scores: np.ndarray, truth: np.ndarray, prior: float) -> float:

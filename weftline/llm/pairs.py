@@ -1,17 +1,307 @@
-"""P3: broken prompt and response pairs, found by a linear classifier."""
+"""P3: broken prompt and response pairs, found by a multi-label linear classifier.
+
+Features of a pair are hashed n-grams of the response and a few dense pair features: how much of
+the prompt the response repeats, how the languages of the two differ, how often its last words end
+a sentence elsewhere, and whether anything readable stands there. The classifier is trained on
+responses broken on purpose: cut off, copied from the prompt, swapped with a response in another
+language, replaced by a refusal, emptied. Its thresholds are the ones of best F1 on held-out
+broken pairs at an assumed share of defects.
+
+The pairs to break are a sample of at most `sample_rows` rows, the first by hash of the id; the
+counts of sentence ends are taken over all rows, in a table of fixed size. Every row is scored.
+
+A null response is empty. A null prompt is taken as an empty one: it can't be copied and has no
+language. Texts of any length are read whole. Ties go to the defect named first in DEFECTS. An
+empty table gives no rows.
+"""
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+import re
+from collections.abc import Iterator
+from difflib import SequenceMatcher
+
+import numpy as np
+import pyarrow as pa
+import xxhash
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from weftline.llm import learn
+from weftline.llm.canon import canonical
+
+DEFECTS = ["empty", "copy", "language", "refusal", "truncated"]
+
 # What stands for an empty text, by its letters and digits in lower case.
 STAND_INS = """
 null none nil nan na undefined br nbsp amp удалено удален удалена deleted removed empty пусто нетданных
 """.split()
 
+# Frequent short words by language.
+COMMON = {
+    "ru": "и в не на что с по как это то все она так его но да ты к у же вы за бы только мне было вот от меня еще нет о из ему теперь когда даже ну вдруг ли если уже или ни быть был него до вас там потом себя ничего ей может они тут где есть надо для мы тебя их чем была сам чтоб без будто чего раз тоже себе под будет ж тогда кто этот потому какой",
+    "uk": "і в не на що з як це то та але так ти до у ж ви за б тільки мені було від мене ще ні про із йому тепер коли навіть ну чи якщо вже або бути був він вона вони там потім себе нічого може тут де є треба для ми тебе їх ніж бо хоча здається дуже якраз зараз надто друзями весело всім грав",
+    "en": "the of and to in is it you that was for on are with as they be at one have this from or had by but not what all were when your can said there use an each which she do how their if will up other about out many then them these so some her would make like him into has look more write go see no way could my than been call who its now find down did get come made may part the a i me just really only",
+    "de": "der die das und ist nicht ich es ein eine zu in den mit auf für von dem sich des auch an als hat er sie wie bei nur noch nach man aber so wenn über mir mich dort ziemlich etwas ohne läuft finde war gefallen ehrlich merkt kaum gewöhnt daran besser",
+    "pl": "nie się na w z i do że jest to jak ale co za po tak od był była było bardzo mi teraz bo jest tam może już tylko przez dla przy ich jego czy zbyt moim zdaniem można zgadzam akurat poczekaj całkiem podobała",
+    "fr": "le la les de des et est un une je tu il elle nous vous que qui dans pour pas sur avec plus ce cette mais ou très",
+    "es": "el la los las de y es un una yo que en por para no con más pero muy se lo como su esta este está",
+}
+COMMON = {k: frozenset(v.split()) for k, v in COMMON.items()}
+
+# Ways to refuse; {} stands for what it is about.
+REFUSALS = """
+Не стану отвечать, такой запрос нарушает правила.
+Извините, но я не могу обсуждать {}.
+Извините, я не могу с этим помочь.
+К сожалению, не имею возможности ответить на вопрос про {}.
+К сожалению, я не могу ответить на этот вопрос.
+Вынужден отказаться, на подобные темы я не общаюсь.
+Как языковая модель, я не имею личного отношения к {}.
+Я всего лишь языковая модель и не могу высказывать мнение про {}.
+Мне запрещено рассуждать о {}.
+Обратитесь к специалисту, советов про {} я не даю.
+Боюсь, ответить не получится: информация недоступна для меня.
+Простите, эта просьба выходит за рамки того, с чем мне разрешено помогать.
+Давайте сменим тему, о {} мне говорить нельзя.
+Я не вправе обсуждать {}, спросите о чём-нибудь другом.
+I'm sorry, but I can't help with the {}.
+I'm sorry, I cannot assist with that request.
+I'd rather not discuss the {}, please ask about something else.
+This request is something I have to decline.
+Unfortunately I am unable to answer questions about {}.
+As a language model I have no opinion on the {}.
+As an AI I cannot comment on the {}.
+I won't answer that, it is against the rules.
+""".strip().split("\n")
+# Words that leave a sentence hanging.
+HANGING = """
+ а вот| например,| из-за|, и| потому что| который| чтобы| и| но| что| в| на| с|, а| хотя| если|, во-|, потому| так как| как| and| because| but the| so that| which| with the| of|, and| when| if you
+""".strip("\n").split("|")
+AFTER_REFUSALS = ["", "", "", "", " Могу рассказать о чём-нибудь нейтральном.", " Спросите о чём-нибудь другом.", " Надеюсь на понимание.", " Хорошего дня.", " Please ask about something else.", " I hope you understand."]
+BEFORE_COPIES = ["", "", "", "> ", "«", "Вопрос такой: ", "Ты спрашиваешь: ", "You ask: ", "— "]
+
+SIZE = 1 << 16
+END_BITS = 18
+_WORD = re.compile(r"[^\W\d_]+|\d+")
+_LETTERS = re.compile(r"[^\W\d_]")
+_ENDED = re.compile(r"[.!?…)»\"”’:;]\s*$|[\U0001F300-\U0001FAFF☀-➿]\s*$")
+_SENTENCE = re.compile(r"[.!?…)]+(?=\s|$)|\n+")
+_SHAPES = {"en_only": re.compile(r"[a-z]"), "ru_only": re.compile(r"[а-яё]"), "uk_only": re.compile(r"[іїєґ]"), "marked": re.compile(r"[ąćęłńśźżäöüßéèêàçñ]")}
+
 
 def is_empty(text: Column) -> Column:
     """Nothing readable, or only a stand-in for nothing. Null is empty."""
     bare = F.regexp_replace(F.lower(F.coalesce(text, F.lit(""))), r"[^\p{L}\p{N}]+", "")
     return (bare == "") | bare.isin(STAND_INS)
+
+
+def _h(x: str, size: int) -> int:
+    return xxhash.xxh3_64_intdigest(x) % size
+
+
+def _tails(words: list[str]) -> list[str]:
+    """Keys of the end of a piece of text: its last word, its last two, and the last but one with the ending of the last."""
+    if not words:
+        return []
+    last, before, third = words[-1], words[-2] if len(words) > 1 else "^", words[-3] if len(words) > 2 else "^"
+    return [f"1 {last}", f"2 {before} {last}", f"3 {before} ~{last[-2:]}", f"4 {third} {before}"]
+
+
+def end_counts(df: DataFrame, text: str) -> np.ndarray:
+    """How often each hashed tail ends a sentence and how often it stands inside one, over all rows: (2^18, 2).
+
+    The table has a fixed size whatever the input; it is summed in Spark before it is brought here.
+    """
+    size = 1 << END_BITS
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sums = np.zeros((size, 2), np.int64)
+        for b in batches:
+            for x in b.column(0).to_pylist():
+                # a short reply that many give is whole
+                whole = _WORD.findall(x.lower()) if len(x) < 60 else []
+                if 0 < len(whole) < 4:
+                    sums[_h("0 " + " ".join(whole), size), 0] += 1
+                # only sentences that end with a mark say where sentences end
+                at = 0
+                for m in _SENTENCE.finditer(x):
+                    words = _WORD.findall(x[at : m.start()].lower())
+                    at = m.end()
+                    for i in range(1, len(words)):
+                        for key in _tails(words[max(0, i - 3) : i]):
+                            sums[_h(key, size), 1] += 1
+                    for key in _tails(words):
+                        sums[_h(key, size), 0] += 1
+        used = np.flatnonzero(sums.any(1))
+        yield pa.RecordBatch.from_arrays([pa.array(used), pa.array(sums[used, 0]), pa.array(sums[used, 1])], ["slot", "ends", "inside"])
+
+    sums = df.select(text).filter(f"{text} IS NOT NULL").mapInArrow(count, "slot long, ends long, inside long").groupBy("slot").agg(F.sum("ends").alias("ends"), F.sum("inside").alias("inside"))
+    out = np.zeros((size, 2), np.float32)
+    for slot, ends, inside in sums.collect():  # at most 2^18 rows
+        out[slot] = ends, inside
+    return out
+
+
+def _language(words: list[str], letters: str) -> np.ndarray:
+    n = max(1, len(words))
+    return np.array([sum(w in c for w in words) / n for c in COMMON.values()] + [len(r.findall(letters)) / max(1, len(letters)) for r in _SHAPES.values()], np.float32)
+
+
+class Featurizer:
+    """Features of a pair; `ends` is the table of end_counts()."""
+
+    def __init__(self, ends: np.ndarray) -> None:
+        self.ends = np.log((ends[:, 0] + 0.3) / (ends[:, 1] + 0.3))
+        self.seen = ends.sum(1)
+
+    def one(self, parent: str | None, response: str | None) -> tuple[list[int], list[float]]:
+        response = canonical(response or "")
+        last = _WORD.findall(response)[-1:]
+        parent, response = canonical(parent or "").lower(), response.lower()
+        words, asked = _WORD.findall(response), _WORD.findall(parent)
+        letters, asked_letters = "".join(_LETTERS.findall(response)), "".join(_LETTERS.findall(parent))
+        bare = "".join(words)
+        empty = not bare or bare in STAND_INS
+        # repeated part
+        share = run = 0.0
+        if words and asked:
+            common = set(words) & set(asked)
+            if len(common) * 2 >= min(len(set(words)), len(set(asked))):
+                m = SequenceMatcher(None, asked, words, autojunk=False)
+                size = sum(x.size for x in m.get_matching_blocks())
+                share = size / len(asked)
+                run = size / len(words)
+        own, other = _language(words, letters), _language(asked, asked_letters)
+        enough = float(len(letters) >= 8 and len(asked_letters) >= 8)
+        cyr, cyr_asked = own[len(COMMON) + 1], other[len(COMMON) + 1]
+        best, best_asked = own[: len(COMMON)].argmax(), other[: len(COMMON)].argmax()
+        foreign = enough * float(best != best_asked and own[best] > 0.15 and own[best] >= own[best_asked] + 0.1 and other[best_asked] > 0.1)
+        known = float(own[: len(COMMON)].max())
+        ended = float(bool(_ENDED.search(response)))
+        lines = _SENTENCE.split(response.rstrip())
+        tail = words if not lines[-1].strip() else _WORD.findall(lines[-1])
+        scores, unseen = [0.0] * 4, 0.0
+        if tail and not ended:
+            unseen = float(bool(last) and last[0].islower() and self.seen[_h(f"1 {tail[-1]}", len(self.ends))] < 2)
+            slots = [_h(x, len(self.ends)) for x in _tails(tail)]
+            scores = [float(self.ends[s]) if self.seen[s] > 0 else -1.5 for s in slots]
+        open_ = 1.0 - ended
+        usual = float(np.log(max(1.0, self.seen[_h("0 " + bare_key, len(self.ends))]))) if 0 < len(words) < 4 and (bare_key := " ".join(words)) else 0.0
+        dense = [
+            1.0, 3.0 * empty, 3.0 * float(share > 0.7 and run > 0.6), share, run, 3.0 * float(share > 0.9), float(run > 0.9),
+            3.0 * foreign, enough * abs(cyr - cyr_asked), 3.0 * enough * float(abs(cyr - cyr_asked) > 0.85), 3.0 * enough * float(cyr_asked > 0.5 and cyr < 0.1), 3.0 * enough * float(cyr_asked < 0.3 and cyr > 0.6),
+            enough * 5 * float(own[len(COMMON) + 2]) * float(cyr_asked > 0), enough * 5 * float(own[len(COMMON) + 3]), enough * float(cyr < 0.1 and known < 0.1), known,
+            open_, *[open_ * max(-3.0, min(3.0, s)) for s in scores], open_ * float(len(tail) > 1 and scores[0] < -1 and scores[1] < -1), open_ * float(response.rstrip().endswith((",", "-", "—", "«"))), open_ * max(-3.0, min(scores)), float(len(tail) <= 1) * open_, min(len(words), 12) / 12, 3.0 * unseen, min(3.0, usual), 3.0 * float(usual > 0.6), open_ * sum(max(-3.0, min(3.0, s)) for s in scores),
+        ]
+        grams = {_h(w, SIZE) for w in words} | {_h(f"{a} {b}", SIZE) for a, b in zip(words, words[1:])} | {_h(f"{a} {b} {c}", SIZE) for a, b, c in zip(words, words[1:], words[2:])}
+        return sorted(grams), dense
+
+    def many(self, parents: list, responses: list) -> tuple[list[list[int]], np.ndarray]:
+        rows = [self.one(p, r) for p, r in zip(parents, responses)]
+        return [r[0] for r in rows], np.array([r[1] for r in rows], np.float32).reshape(len(rows), -1)
+
+
+def broken(pairs: list[tuple[str, str]], seed: int = 11) -> list[tuple[str, str, int]]:
+    """Pairs with the number of their defect, -1 for those left alone, made from good and mixed real ones."""
+    rng = np.random.default_rng(seed)
+    pick = lambda xs: xs[int(rng.integers(len(xs)))]
+    is_ru = lambda t: len(re.findall("[а-яё]", t.lower())) > 0.5 * len(_LETTERS.findall(t))
+    ru, other = [p for p in pairs if is_ru(p[1])], [p for p in pairs if not is_ru(p[1])]
+    topics = [w for p in pairs[:400] for w in _WORD.findall(p[1]) if len(w) > 4] or ["это"]
+    blanks = ["", " ", "\n", "\t", ".", "-", "—", "...", "​", "null", "None", "n/a", "[удалено]", "<br>", "&nbsp;", "﻿ "]
+    # sentences in languages that the rows may lack, made of their frequent words
+    made = lambda k: " ".join(pick(sorted(COMMON[k])) + (pick(["", "a", "en", "o"]) if rng.random() < 0.3 else "") for _ in range(int(rng.integers(6, 16))))
+    out = []
+    for i, (p, r) in enumerate(pairs):
+        out.append((p, r, -1))
+        if not p.strip() or not r.strip():
+            continue
+        kind = i % 8
+        if kind in (0, 1, 2):
+            cut = int(rng.integers(max(2, len(r) // 8), max(3, len(r) - 2)))
+            x, how = r[:cut], rng.random()
+            if how < 0.4:
+                x = x.rsplit(None, 1)[0] if len(x.split()) > 1 else x  # at a word's end
+            elif how < 0.55:
+                x = r.rstrip().rstrip(".!?)…") + pick(HANGING)
+            if _LETTERS.search(x) and not _ENDED.search(x) and not _SENTENCE.match(r[len(x) :] or "."):
+                out.append((p, x, 4))
+        elif kind in (3, 4):
+            x = pick(BEFORE_COPIES) + p
+            if rng.random() < 0.35 and len(p.split()) > 4:
+                x = " ".join(x.split()[: -int(rng.integers(1, 1 + max(1, len(p.split()) // 4)))])
+            out.append((p, x + pick(["", "", "»", " ?", ")", " +1"]), 1))
+        elif kind in (5,):
+            pool = other if is_ru(p) else ru
+            x = pick(pool)[1] if pool and rng.random() < 0.6 else made(pick(["de", "pl", "uk", "fr", "es"]))
+            if len(_LETTERS.findall(x)) >= 10:
+                out.append((p, x, 2))
+        elif kind == 6:
+            x = pick(REFUSALS).replace("{}", pick(topics))
+            x = (x if rng.random() < 0.7 else x.rstrip(".")) + pick(AFTER_REFUSALS)
+            out.append((p, x if rng.random() < 0.8 else pick(["Эм, ", "Ну, ", "Ой, ", "Well, "]) + x[0].lower() + x[1:], 3))
+        else:
+            out.append((p, pick(blanks), 0))
+    return out
+
+
+class Model:
+    """Weights and thresholds, some 1.5 MB whatever the input."""
+
+    def __init__(self, pairs: list[tuple[str, str]], ends: np.ndarray, prior: float = 0.012) -> None:
+        self.features = Featurizer(ends)
+        rows = broken(pairs)
+        if not rows:
+            rows = [("", "", 0)]
+        grams, dense = self.features.many([r[0] for r in rows], [r[1] for r in rows])
+        y = np.array([[float(r[2] == k) for k in range(len(DEFECTS))] for r in rows], np.float32)
+        x = learn.Sparse(grams)
+        held = np.arange(len(rows)) % 5 == 4
+        # real rows may be broken too: those that a fit on the other half takes for broken are left out, twice over
+        keep, half = np.ones(len(rows), bool), np.arange(len(rows)) // 7 % 2 == 0
+        untouched = y.sum(1) == 0
+        for _ in range(2):
+            drop = np.zeros(len(rows), bool)
+            for part in (half, ~half):
+                own = np.flatnonzero(part & untouched)
+                w, v = learn.linear_fit(x, dense, y, np.flatnonzero(~part & keep), SIZE, epochs=6)
+                drop[own] = learn.linear_score(x, dense, own, w, v).max(1) > 0
+            keep = ~drop
+        self.left_out = int(drop.sum())
+        self.w, self.v = learn.linear_fit(x, dense, y, np.flatnonzero(~held & keep), SIZE)
+        at = np.flatnonzero(held & keep)
+        y, held, scores = y[at], np.ones(len(at), bool), learn.linear_score(x, dense, at, self.w, self.v)
+        self.cut = np.array([learn.best_threshold(scores[:, k], y[held][:, k], prior) if y[held][:, k].any() else 0.0 for k in range(len(DEFECTS))], np.float32)
+        self.report = {d: (float(((scores[:, k] > self.cut[k]) & (y[held][:, k] > 0)).sum() / max(1, y[held][:, k].sum())), float(((scores[:, k] > self.cut[k]) & (y[held][:, k] == 0)).mean())) for k, d in enumerate(DEFECTS)}
+
+    def margins(self, parents: list, responses: list) -> np.ndarray:
+        grams, dense = self.features.many(parents, responses)
+        return learn.linear_score(learn.Sparse(grams), dense, np.arange(len(grams)), self.w, self.v) - self.cut
+
+
+def fit(df: DataFrame, id_column: str, parent: str, response: str, sample_rows: int = 6000) -> Model:
+    """Fit on at most `sample_rows` rows, the first by hash of the id; sentence ends are counted over all rows."""
+    sample = df.select(F.col(parent).alias("p"), F.col(response).alias("r"), F.xxhash64(F.col(id_column)).alias("o")).filter("p IS NOT NULL AND r IS NOT NULL").orderBy("o", "p", "r").limit(sample_rows)
+    return Model([(r.p[:4000], r.r[:4000]) for r in sample.collect()], end_counts(df, response))
+
+
+def defects(df: DataFrame, id_column: str, parent: str, response: str, model: Model) -> DataFrame:
+    """(id, defect, margin) of every row with a defect."""
+    shared = df.sparkSession.sparkContext.broadcast(model)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        m = shared.value
+        for b in batches:
+            for at in range(0, b.num_rows, 1000):
+                part = b.slice(at, 1000)
+                s = m.margins(part.column(1).to_pylist(), part.column(2).to_pylist())
+                best = s.argmax(1)
+                # what is empty, copied or foreign is so whatever else it resembles
+                for k in (2, 1, 0):
+                    best[s[:, k] > 0] = k
+                hit = np.flatnonzero(s.max(1) > 0)
+                yield pa.RecordBatch.from_arrays([part.column(0).take(pa.array(hit)), pa.array([DEFECTS[best[i]] for i in hit], pa.string()), pa.array(s[hit, best[hit]].astype(float))], ["id", "defect", "margin"])
+
+    kind = dict(df.dtypes)[id_column]
+    return df.select(id_column, parent, response).mapInArrow(run, f"id {kind}, defect string, margin double")

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from pyspark.sql import functions as F
 
-from weftline.llm import canon, collapse, components, winnow
+from weftline.llm import canon, collapse, components, pairs, winnow
 from weftline.llm.pairs import is_empty
 from weftline.plans.runtime import table
 
@@ -44,6 +44,12 @@ def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return collapse.copies(records, "pair_id", ["parent", "response"]).select("keep_id", "copy_id")
 
 
+def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    df = table(spark, sf_dir, "clean_pairs", "pair_id", "parent", "response")
+    model = pairs.fit(df, "pair_id", "parent", "response")
+    return pairs.defects(df, "pair_id", "parent", "response", model).select(F.col("id").alias("pair_id"), "defect")
+
+
 def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return canon.look_alike_pairs(table(spark, sf_dir, "raw_pairs", "row_id", "parent_comment", "child_comment"), "row_id", "parent_comment", "child_comment")
 
@@ -58,7 +64,7 @@ def p5_split_sizes(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {"p1_found": p1_found, "p1_report": p1_report, "p2_found": p2_found, "p4_found": p4_found, "p5_found": p5_found, "p5_split_sizes": p5_split_sizes}
+    return {"p1_found": p1_found, "p1_report": p1_report, "p2_found": p2_found, "p3_found": p3_found, "p4_found": p4_found, "p5_found": p5_found, "p5_split_sizes": p5_split_sizes}
 
 
 def oracle_sql() -> dict:
