@@ -82,7 +82,7 @@ AFTER_REFUSALS = ["", "", "", "", " Могу рассказать о чём-ни
 BEFORE_COPIES = ["", "", "", "> ", "«", "Вопрос такой: ", "Ты спрашиваешь: ", "You ask: ", "— "]
 
 SIZE = 1 << 16
-END_BITS = 18
+END_BITS = 19
 _WORD = re.compile(r"[^\W\d_]+|\d+")
 _LETTERS = re.compile(r"[^\W\d_]")
 _ENDED = re.compile(r"[.!?…)»\"”’:;]\s*$|[\U0001F300-\U0001FAFF☀-➿]\s*$")
@@ -101,15 +101,15 @@ def _h(x: str, size: int) -> int:
 
 
 def _tails(words: list[str]) -> list[str]:
-    """Keys of the end of a piece of text: its last word, its last two, and the last but one with the ending of the last."""
+    """Keys of the end of a piece of text: its last word, its last two, the words before it, the endings of its last three, its last four, its last clause."""
     if not words:
         return []
     last, before, third = words[-1], words[-2] if len(words) > 1 else "^", words[-3] if len(words) > 2 else "^"
-    return [f"1 {last}", f"2 {before} {last}", f"3 {before} ~{last[-2:]}", f"4 {third} {before}"]
+    return [f"1 {last}", f"2 {before} {last}", f"3 {before} ~{last[-2:]}", f"4 {third} {before}", f"5 ~{third[-2:]} ~{before[-2:]} ~{last[-3:]}", f"6 {third} ~{before[-2:]} ~{last[-2:]}", "7 " + " ".join(words[-4:])]
 
 
 def end_counts(df: DataFrame, text: str) -> np.ndarray:
-    """How often each hashed tail ends a sentence and how often it stands inside one, over all rows: (2^18, 2).
+    """How often each hashed tail ends a sentence and how often it stands inside one, over all rows: (2^19, 2).
 
     The table has a fixed size whatever the input; it is summed in Spark before it is brought here.
     """
@@ -129,7 +129,7 @@ def end_counts(df: DataFrame, text: str) -> np.ndarray:
                     words = _WORD.findall(x[at : m.start()].lower())
                     at = m.end()
                     for i in range(1, len(words)):
-                        for key in _tails(words[max(0, i - 3) : i]):
+                        for key in _tails(words[max(0, i - 4) : i]):
                             sums[_h(key, size), 1] += 1
                     for key in _tails(words):
                         sums[_h(key, size), 0] += 1
@@ -138,7 +138,7 @@ def end_counts(df: DataFrame, text: str) -> np.ndarray:
 
     sums = df.select(text).filter(f"{text} IS NOT NULL").mapInArrow(count, "slot long, ends long, inside long").groupBy("slot").agg(F.sum("ends").alias("ends"), F.sum("inside").alias("inside"))
     out = np.zeros((size, 2), np.float32)
-    for slot, ends, inside in sums.collect():  # at most 2^18 rows
+    for slot, ends, inside in sums.toLocalIterator():  # at most 2^19 rows
         out[slot] = ends, inside
     return out
 
@@ -181,7 +181,7 @@ class Featurizer:
         ended = float(bool(_ENDED.search(response)))
         lines = _SENTENCE.split(response.rstrip())
         tail = words if not lines[-1].strip() else _WORD.findall(lines[-1])
-        scores, unseen = [0.0] * 4, 0.0
+        scores, unseen = [0.0] * 7, 0.0
         if tail and not ended:
             unseen = float(bool(last) and last[0].islower() and self.seen[_h(f"1 {tail[-1]}", len(self.ends))] < 2)
             slots = [_h(x, len(self.ends)) for x in _tails(tail)]
