@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from pyspark.sql import functions as F
 
-from weftline.llm import canon, collapse, components, pairs, winnow
+from weftline.llm import canon, collapse, components, leaks, pairs, winnow
 from weftline.llm.pairs import is_empty
 from weftline.plans.runtime import table
 
@@ -63,8 +63,14 @@ def p5_split_sizes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.groupBy("split").agg(F.count("*").alias("n_rows"), F.count_distinct("group_id").alias("n_groups"))
 
 
+def p8_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents", "doc_id", "text")
+    space = leaks.build(docs, "text", table(spark, sf_dir, "eval_passages", "passage_id", "text"), "passage_id", "text")
+    return leaks.leaks(docs, "doc_id", "text", space).select("doc_id", "passage_id")
+
+
 def queries() -> dict:
-    return {"p1_found": p1_found, "p1_report": p1_report, "p2_found": p2_found, "p3_found": p3_found, "p4_found": p4_found, "p5_found": p5_found, "p5_split_sizes": p5_split_sizes}
+    return {"p1_found": p1_found, "p1_report": p1_report, "p2_found": p2_found, "p3_found": p3_found, "p4_found": p4_found, "p5_found": p5_found, "p5_split_sizes": p5_split_sizes, "p8_found": p8_found}
 
 
 def oracle_sql() -> dict:
