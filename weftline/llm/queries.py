@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from pyspark.sql import functions as F
 
-from weftline.llm import canon, collapse, components, leaks, pairs, winnow
+from weftline.llm import canon, collapse, components, leaks, pairs, residue, winnow
 from weftline.llm.pairs import is_empty
 from weftline.plans.runtime import table
 
@@ -69,8 +69,13 @@ def p8_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return leaks.leaks(docs, "doc_id", "text", space).select("doc_id", "passage_id")
 
 
+def p9_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents", "doc_id", "text")
+    return residue.residue(docs, "doc_id", "text", residue.fit(docs, "text")).select("doc_id")
+
+
 def queries() -> dict:
-    return {"p1_found": p1_found, "p1_report": p1_report, "p2_found": p2_found, "p3_found": p3_found, "p4_found": p4_found, "p5_found": p5_found, "p5_split_sizes": p5_split_sizes, "p8_found": p8_found}
+    return {"p1_found": p1_found, "p1_report": p1_report, "p2_found": p2_found, "p3_found": p3_found, "p4_found": p4_found, "p5_found": p5_found, "p5_split_sizes": p5_split_sizes, "p8_found": p8_found, "p9_found": p9_found}
 
 
 def oracle_sql() -> dict:
