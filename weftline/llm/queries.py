@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from pyspark.sql import functions as F
 
-from weftline.llm import canon, collapse, components, leaks, pairs, residue, winnow
+from weftline.llm import abuse, canon, collapse, components, leaks, packing, pairs, residue, winnow
 from weftline.llm.pairs import is_empty
 from weftline.plans.runtime import table
 
@@ -63,6 +63,47 @@ def p5_split_sizes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.groupBy("split").agg(F.count("*").alias("n_rows"), F.count_distinct("group_id").alias("n_groups"))
 
 
+def _scorer(spark: SparkSession, sf_dir: str) -> abuse.Scorer:
+    return abuse.fit(table(spark, sf_dir, "tox_labels", "text", "label"), "text", "label")
+
+
+def p6_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    df = table(spark, sf_dir, "clean_pairs", "pair_id", "response")
+    return abuse.scores(df, "pair_id", "response", _scorer(spark, sf_dir)).filter("score >= 0.5").select(F.col("id").alias("pair_id"))
+
+
+def p6_rates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rates by source, compared without case and outer blanks."""
+    df = table(spark, sf_dir, "clean_pairs", "pair_id", "response", "source")
+    scored = abuse.scores(df.select(F.struct("pair_id", "source").alias("k"), "response"), "k", "response", _scorer(spark, sf_dir))
+    return scored.groupBy(F.lower(F.trim("id.source")).alias("source")).agg(F.count("*").alias("n_rows"), F.count_if(F.col("score") >= 0.5).alias("n_flagged"), F.round(F.avg("score"), 4).alias("avg_score"))
+
+
+def p6_raw_rates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rates of raw_pairs.child_comment by shard, beside the stored hint."""
+    df = table(spark, sf_dir, "raw_pairs", "shard", "child_comment", "child_comment_tox")
+    scored = abuse.scores(df.select(F.struct("shard", "child_comment_tox").alias("k"), "child_comment"), "k", "child_comment", _scorer(spark, sf_dir))
+    return scored.groupBy(F.col("id.shard").alias("shard")).agg(F.count("*").alias("n_rows"), F.count_if(F.col("score") >= 0.5).alias("n_flagged"), F.count_if(F.col("id.child_comment_tox") >= 0.8).alias("n_hinted"))
+
+
+def _packed(spark: SparkSession, sf_dir: str, capacity: int) -> DataFrame:
+    docs = table(spark, sf_dir, "documents", "doc_id", "text", "source")
+    return packing.pack(packing.sized(docs, "doc_id", "text", "source", f"{packing.TOKENIZERS}/byte_bpe_multi_50k.tiktoken"), capacity)
+
+
+def p7_containers_256(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _packed(spark, sf_dir, 256)
+
+
+def p7_containers_2048(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _packed(spark, sf_dir, 2048)
+
+
+def p7_report(spark: SparkSession, sf_dir: str) -> DataFrame:
+    reports = [packing.report(_packed(spark, sf_dir, c), c).select(F.lit(c).alias("capacity"), "*") for c in (256, 2048)]
+    return reports[0].union(reports[1])
+
+
 def p8_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents", "doc_id", "text")
     space = leaks.build(docs, "text", table(spark, sf_dir, "eval_passages", "passage_id", "text"), "passage_id", "text")
@@ -75,7 +116,7 @@ def p9_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {"p1_found": p1_found, "p1_report": p1_report, "p2_found": p2_found, "p3_found": p3_found, "p4_found": p4_found, "p5_found": p5_found, "p5_split_sizes": p5_split_sizes, "p8_found": p8_found, "p9_found": p9_found}
+    return {"p1_found": p1_found, "p1_report": p1_report, "p2_found": p2_found, "p3_found": p3_found, "p4_found": p4_found, "p5_found": p5_found, "p5_split_sizes": p5_split_sizes, "p6_found": p6_found, "p6_rates": p6_rates, "p6_raw_rates": p6_raw_rates, "p7_containers_256": p7_containers_256, "p7_containers_2048": p7_containers_2048, "p7_report": p7_report, "p8_found": p8_found, "p9_found": p9_found}
 
 
 def oracle_sql() -> dict:
