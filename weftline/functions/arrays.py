@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from weftline.functions.binding import let
+
 TINY = 1.1754943508222875e-38
 PAD, BOS, EOS, USER, ASSISTANT, UNKNOWN = range(6)
 
@@ -20,7 +22,7 @@ def scale(v: Column) -> Column:
 
 def quantize(v: Column, s: Column) -> Column:
     """Values / scale, rounded half to even, within -127..127."""
-    return F.transform(v, lambda x: F.greatest(F.lit(-127), F.least(F.lit(127), F.rint(x / s).cast("int"))))
+    return let(s, lambda s: F.transform(v, lambda x: F.greatest(F.lit(-127), F.least(F.lit(127), F.rint(x / s).cast("int")))))
 
 
 def activation_scale(v: Column) -> Column:
@@ -30,7 +32,7 @@ def activation_scale(v: Column) -> Column:
 
 
 def dequantize(q: Column, s: Column) -> Column:
-    return F.transform(q, lambda x: x * s)
+    return let(s, lambda s: F.transform(q, lambda x: x * s))
 
 
 def int_dot(a: Column, b: Column) -> Column:
@@ -48,8 +50,7 @@ def cosine(a: Column, b: Column) -> Column:
 
 
 def rms_norm(v: Column, eps: float = 1e-5) -> Column:
-    r = F.sqrt(dot(v, v) / F.size(v) + eps)
-    return F.transform(v, lambda x: x / r)
+    return let(F.sqrt(dot(v, v) / F.size(v) + eps), lambda r: F.transform(v, lambda x: x / r))
 
 
 def top_k(v: Column, k: int) -> Column:
@@ -64,16 +65,14 @@ def repetition_penalty(v: Column, history: Column, penalty: float, window: int =
     if penalty <= 0:
         raise ValueError("repetition penalty must be positive")
     recent = F.when(F.size(history) > window, F.slice(history, -window, window)).otherwise(history)
-    return F.transform(v, lambda x, i: F.when(F.array_contains(recent, i), F.when(x >= 0, x / penalty).otherwise(x * penalty)).otherwise(x))
+    return let(recent, lambda h: F.transform(v, lambda x, i: F.when(F.array_contains(h, i), F.when(x >= 0, x / penalty).otherwise(x * penalty)).otherwise(x)))
 
 
 def softmax(v: Column, temperature: float = 1.0) -> Column:
     if temperature <= 0:
         raise ValueError("temperature must be positive")
-    m = F.array_max(v)
-    e = F.transform(v, lambda x: F.exp((x - m) / temperature))
-    t = total(e)
-    return F.transform(e, lambda x: x / t)
+    powers = let(F.array_max(v), lambda m: F.transform(v, lambda x: F.exp((x - m) / temperature)))
+    return let(powers, lambda e: let(total(e), lambda t: F.transform(e, lambda x: x / t)))
 
 
 def draw(p: Column, u: Column) -> Column:
@@ -116,8 +115,8 @@ def response_mask(parent: Column, response: Column) -> Column:
 
 def prefix_weights(mask: Column, targets: Column, n: int, weight: float) -> Column:
     """Loss weights: the first n masked targets weigh more, the end mark never does."""
-    done = F.transform(mask, lambda m, i: F.aggregate(F.slice(mask, 1, i + 1), F.lit(0), lambda s, x: s + x))
-    return F.zip_with(F.arrays_zip(mask.alias("m"), done.alias("d")), targets, lambda a, t: a["m"] * F.when((a["d"] <= n) & (a["m"] == 1) & (t != EOS), F.lit(float(weight))).otherwise(F.lit(1.0)))
+    sums = let(mask, lambda a: F.transform(a, lambda m, i: F.aggregate(F.slice(a, 1, i + 1), F.lit(0), lambda s, x: s + x)))
+    return F.zip_with(F.arrays_zip(mask.alias("m"), sums.alias("d")), targets, lambda a, t: a["m"] * F.when((a["d"] <= n) & (a["m"] == 1) & (t != EOS), F.lit(float(weight))).otherwise(F.lit(1.0)))
 
 
 def learning_rate(step: Column, warmup: int, steps: int, top: float, low: float) -> Column:

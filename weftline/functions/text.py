@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from weftline.functions.binding import let
+
 # What the site writes in place of a deleted comment, in lower case.
 DELETED_MARKERS = (
     "этот материал был удален по просьбе автора",
@@ -92,25 +94,25 @@ def lower_first(text: Column) -> Column:
 
 def strip_fence(text: Column) -> Column:
     """A reply without the code fence around it."""
-    x = F.trim(text)
-    return F.when(x.startswith("```"), F.trim(F.regexp_replace(F.regexp_replace(x, r"^[^\n]*\n", ""), r"```[^`]*$", ""))).otherwise(x)
+    bare = lambda c: F.btrim(c, F.lit(" \t\r\n"))
+    x = bare(text)
+    return F.when(x.startswith("```"), bare(F.regexp_replace(F.regexp_replace(x, r"^[^\n]*\n", ""), r"```[^`]*$", ""))).otherwise(x)
 
 
 def topic_hit(text: Column, terms: Column) -> Column:
     """Whether the folded text holds any of the folded terms."""
     plain = lambda c: F.replace(fold(c), F.lit("ё"), F.lit("е"))
-    return F.exists(terms, lambda t: F.contains(plain(text), plain(t)))
+    return let(plain(text), lambda x: F.exists(terms, lambda t: F.contains(x, plain(t))))
 
 
 def ngrams(items: Column, order: int = 3) -> Column:
     """All runs of `order` neighbouring items."""
-    return F.when(F.size(items) >= order, F.transform(F.sequence(F.lit(0), F.size(items) - order), lambda i: F.slice(items, i + 1, order))).otherwise(F.array().cast("array<array<string>>"))
+    return let(items, lambda a: F.when(F.size(a) >= order, F.transform(F.sequence(F.lit(0), F.size(a) - order), lambda i: F.slice(a, i + 1, order))).otherwise(F.array().cast("array<array<string>>")))
 
 
 def repeat_rate(items: Column, order: int = 3) -> Column:
     """Share of n-grams that repeat another; 0 for fewer items than an n-gram has."""
-    n = F.size(items) - (order - 1)
-    return F.when(n > 0, 1 - F.size(F.array_distinct(ngrams(items, order))) / n).otherwise(F.lit(0.0))
+    return let(ngrams(items, order), lambda g: F.when(F.size(g) > 0, 1 - F.size(F.array_distinct(g)) / F.size(g)).otherwise(F.when(g.isNotNull(), F.lit(0.0))))
 
 
 def exact_echo(prompt: Column, response: Column) -> Column:

@@ -3,11 +3,10 @@
 from __future__ import annotations
 
 from collections import defaultdict
-from collections.abc import Iterator
 from difflib import SequenceMatcher
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from weftline.functions import text as T
@@ -73,19 +72,24 @@ def near_blocks(excluded: DataFrame, excluded_text: str, **kw) -> list[NearList]
     return [*blocks, NearList(now, **kw)] if now else blocks
 
 
+def _near_udf(shared):
+    @F.arrow_udf("boolean")
+    def near(texts: pa.Array) -> pa.Array:
+        block, known, out = shared.value, {None: False}, []
+        for x in texts.to_pylist():
+            if x not in known:
+                known[x] = block.has(x)
+            out.append(known[x])
+        return pa.array(out, pa.bool_())
+
+    return near
+
+
 def mark_near(df: DataFrame, text: str, excluded: DataFrame, excluded_text: str, name: str = "near", **kw) -> DataFrame:
     """A flag: the text is equal or nearly equal to an excluded one. Null texts are not. One pass a block."""
     out = df.withColumn("_norm", T.normalized(F.col(text))).withColumn(name, F.lit(False))
     for block in near_blocks(excluded, excluded_text, **kw):
-        shared = df.sparkSession.sparkContext.broadcast(block)
-
-        @F.arrow_udf("boolean")
-        def near(texts: pa.Array, shared=shared) -> pa.Array:
-            known: dict = {}
-            b = shared.value
-            return pa.array([False if x is None else known.setdefault(x, b.has(x)) if x not in known else known[x] for x in texts.to_pylist()], pa.bool_())
-
-        out = out.withColumn(name, F.col(name) | near("_norm"))
+        out = out.withColumn(name, F.col(name) | _near_udf(df.sparkSession.sparkContext.broadcast(block))("_norm"))
     return out.drop("_norm")
 
 
