@@ -27,7 +27,7 @@ def fold(text: Column) -> Column:
 def tidy(text: Column) -> Column:
     """Line ends as LF, runs of blanks as one blank, lines trimmed, at most one empty line in a row; empty becomes null."""
     x = F.regexp_replace(text, "\r\n?", "\n")
-    x = F.regexp_replace(x, r"[ \t\x0B\f]+", " ")
+    x = F.regexp_replace(x, r"[ \t\x0B\f]{2,}|[\t\x0B\f]", " ")
     x = F.regexp_replace(x, " *\n *", "\n")
     x = F.regexp_replace(x, "\n{3,}", "\n\n")
     x = F.btrim(x, F.lit(" \n"))
@@ -36,17 +36,14 @@ def tidy(text: Column) -> Column:
 
 def is_deleted(text: Column) -> Column:
     """Whether a text holds one of the deleted markers, in any case."""
-    folded = fold(text)
-    out = F.lit(False)
-    for m in DELETED_MARKERS:
-        out = out | folded.contains(m)
-    return out
+    return F.regexp_like(fold(text), F.lit("|".join(DELETED_MARKERS)))
 
 
 def clean(text: Column) -> Column:
     """tidy(), and null where the comment is deleted."""
-    x = tidy(text)
-    return F.when(~is_deleted(x), x)
+    # one expression over the tidied text, so that its rules run once
+    marked = F.regexp_replace(tidy(text), f"(?isu)^.*?(?:{'|'.join(DELETED_MARKERS)}).*$", "")
+    return F.nullif(marked, F.lit(""))
 
 
 def words(text: Column) -> Column:
@@ -112,7 +109,9 @@ def ngrams(items: Column, order: int = 3) -> Column:
 
 def repeat_rate(items: Column, order: int = 3) -> Column:
     """Share of n-grams that repeat another; 0 for fewer items than an n-gram has."""
-    return let(ngrams(items, order), lambda g: F.when(F.size(g) > 0, 1 - F.size(F.array_distinct(g)) / F.size(g)).otherwise(F.when(g.isNotNull(), F.lit(0.0))))
+    # joined grams are told apart by hash, lists only by comparing all pairs
+    joined = F.transform(ngrams(items, order), lambda g: F.array_join(g.cast("array<string>"), "\x01"))
+    return let(joined, lambda g: F.when(F.size(g) > 0, 1 - F.size(F.array_distinct(g)) / F.size(g)).otherwise(F.when(g.isNotNull(), F.lit(0.0))))
 
 
 def exact_echo(prompt: Column, response: Column) -> Column:

@@ -17,5 +17,7 @@ def mark_repeats(df: DataFrame, identity: Column, order: str, name: str) -> Data
 
     The first of each identity is found by a map-side aggregate, so that no window holds a hot identity.
     """
-    firsts = df.filter("reason IS NULL").groupBy(F.xxhash64(identity).alias("_h"), F.md5(F.to_json(F.struct(identity.alias("k")))).alias("_m")).agg(F.min(order).alias(order)).select(order, F.lit(True).alias("_first"))
+    # no filter by reason here: it would be pushed below the projection and compute the reason's parts over again
+    keyed = df.select(F.xxhash64(identity).alias("_h"), F.md5(F.to_json(F.struct(identity.alias("k")))).alias("_m"), F.when(F.col("reason").isNull(), F.col(order)).alias(order))
+    firsts = keyed.groupBy("_h", "_m").agg(F.min(order).alias(order)).filter(F.col(order).isNotNull()).select(order, F.lit(True).alias("_first"))
     return df.join(firsts, order, "left").withColumn("reason", F.when(F.col("reason").isNull() & F.col("_first").isNull(), F.lit(name)).otherwise(F.col("reason"))).drop("_first")
