@@ -153,7 +153,7 @@ class Transducer:
             return text  # one script, unmistakably, and nothing unusual: the form is the text
         text = self.cluster.sub(self._cluster, text)
         whole = self._script(text, "cyrillic")
-        return self.sentence.sub(lambda m: self._sentence(m.group(), whole), text)
+        return unicodedata.normalize("NFC", self.sentence.sub(lambda m: self._sentence(m.group(), whole), text))
 
     def _sentence(self, text: str, whole: str) -> str:
         script, cache = self._script(text, whole), self.words

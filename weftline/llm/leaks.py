@@ -121,7 +121,7 @@ def _gram_product(spark, rows: list[np.ndarray], idf: np.ndarray, basis: np.ndar
 def longest_quote(words: list[str], passage: list[str], least: int) -> int:
     """Words of the passage that the longest good local alignment spans: a match counts 1, a word with one slip 0.5, an odd word -1.5.
 
-    Of the words spanned, at most two or one in five may be odd. 0 if fewer than `least` words are spanned.
+    Of the words spanned, at most one in seven may be odd, and one in any case. 0 if fewer than `least` words are spanned.
     """
     where: dict[str, list[int]] = {}
     for j, w in enumerate(passage):
@@ -148,7 +148,7 @@ def longest_quote(words: list[str], passage: list[str], least: int) -> int:
                 s, b, c = new[j - 1] - 1.5, begin[j - 1], count[j - 1]
             new[j], begin[j], count[j] = s, b, c
             # a span ends at a word that both have
-            if same and passage[j - 1] == w and j - b >= least and s > 0 and j - b - c <= max(2, (j - b) // 5):
+            if same and passage[j - 1] == w and j - b >= least and s > 0 and j - b - c <= max(1, (j - b) // 7):
                 best = max(best, j - b)
         score, start, hits = new, begin, count
     return best

@@ -273,7 +273,9 @@ class Model:
         at = np.flatnonzero(held & keep)
         y, held, scores = y[at], np.ones(len(at), bool), learn.linear_score(x, dense, at, self.w, self.v)
         self.cut = np.array([learn.best_threshold(scores[:, k], y[held][:, k], prior) if y[held][:, k].any() else 0.0 for k in range(len(DEFECTS))], np.float32)
-        self.report = {d: (float(((scores[:, k] > self.cut[k]) & (y[held][:, k] > 0)).sum() / max(1, y[held][:, k].sum())), float(((scores[:, k] > self.cut[k]) & (y[held][:, k] == 0)).mean())) for k, d in enumerate(DEFECTS)}
+        hit, true = scores > self.cut, y > 0
+        #: By defect: share found of the held-out broken pairs, share of the others taken for it.
+        self.report = {d: (float((hit & true)[:, k].sum() / max(1, true[:, k].sum())), float((hit & ~true)[:, k].sum() / max(1, len(y)))) for k, d in enumerate(DEFECTS)}
 
     def margins(self, parents: list, responses: list) -> np.ndarray:
         grams, dense = self.features.many(parents, responses)

@@ -45,8 +45,8 @@ def winnowed(texts: list[str], k: int, window: int) -> tuple[np.ndarray, np.ndar
     """Selected hashes of all texts at once: number of the text, hash, position. A hash is given once for each text, at its first place."""
     gap = k + window
     sizes = np.array([len(t) for t in texts], np.int64)
-    starts = np.cumsum(sizes + gap) - sizes - gap
-    codes = np.frombuffer(("\0" * gap).join(texts).encode("utf-32-le") + b"\0" * (4 * gap), np.uint32).astype(np.uint64)
+    starts = np.cumsum(sizes + gap) - sizes
+    codes = np.frombuffer("\0".join(["", *("\0" * (gap - 1) + t for t in texts), "\0" * (gap - 1)]).encode("utf-32-le"), np.uint32).astype(np.uint64)
     if not len(texts):
         return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int64)
     mixed = (codes + np.uint64(1)) * _BASE
