@@ -20,7 +20,7 @@ SENTENCE_END = r"[.!?]+(?:\s|$)"
 
 
 def fold(text: Column) -> Column:
-    """Case folding: lower case, sharp s written out."""
+    """Case folding: lower case, sharp s written out (ligatures and the like stay)."""
     return F.replace(F.lower(text), F.lit("ß"), F.lit("ss"))
 
 
@@ -104,7 +104,7 @@ def topic_hit(text: Column, terms: Column) -> Column:
 
 def ngrams(items: Column, order: int = 3) -> Column:
     """All runs of `order` neighbouring items."""
-    return let(items, lambda a: F.when(F.size(a) >= order, F.transform(F.sequence(F.lit(0), F.size(a) - order), lambda i: F.slice(a, i + 1, order))).otherwise(F.array().cast("array<array<string>>")))
+    return let(items, lambda a: F.when(F.size(a) >= order, F.transform(F.sequence(F.lit(0), F.size(a) - order), lambda i: F.slice(a, i + 1, order))).when(a.isNotNull(), F.array().cast("array<array<string>>")))
 
 
 def repeat_rate(items: Column, order: int = 3) -> Column:

@@ -10,12 +10,12 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.types import StructType
 
-RAW_PAIR = StructType.fromDDL(
+#: Schemas, as text.
+RAW_PAIR = (
     "post_title string, parent_comment string, child_comment string, comment_id_parent bigint, comment_id_child bigint, parent_likes bigint, child_likes bigint, reply_count bigint, parent_comment_tox double, child_comment_tox double"
 )
-CLEAN_PAIR = StructType.fromDDL("parent string, response string, parent_likes bigint, response_likes bigint, reply_count bigint, parent_toxicity double, response_toxicity double")
+CLEAN_PAIR = "parent string, response string, parent_likes bigint, response_likes bigint, reply_count bigint, parent_toxicity double, response_toxicity double"
 
 
 def scan(spark: SparkSession, path: str, *columns: str, shards: int | None = None) -> DataFrame:
