@@ -119,5 +119,15 @@ def queries() -> dict:
     return {"p1_found": p1_found, "p1_report": p1_report, "p2_found": p2_found, "p3_found": p3_found, "p4_found": p4_found, "p5_found": p5_found, "p5_split_sizes": p5_split_sizes, "p6_found": p6_found, "p6_rates": p6_rates, "p6_raw_rates": p6_raw_rates, "p7_containers_256": p7_containers_256, "p7_containers_2048": p7_containers_2048, "p7_report": p7_report, "p8_found": p8_found, "p9_found": p9_found}
 
 
+_KEY = r"regexp_replace(lower({}), '[^\p{{L}}\p{{N}}\p{{M}}]+', '', 'g')"
+_BARE = r"regexp_replace(lower({}), '[^\p{{L}}\p{{N}}]+', '', 'g')"
+
+
 def oracle_sql() -> dict:
-    return {}
+    stand_ins = ", ".join(f"'{x}'" for x in pairs.STAND_INS)
+    return {
+        "p2_found": f"""WITH lines AS (SELECT pair_id, CASE WHEN json_valid(line) AND starts_with(trim(line), '{{') THEN line END AS j FROM pair_lines),
+r AS (SELECT pair_id, parent, response FROM clean_pairs UNION ALL SELECT pair_id, json_extract_string(j, '$.parent'), json_extract_string(j, '$.response') FROM lines WHERE json_extract_string(j, '$.parent') IS NOT NULL AND json_extract_string(j, '$.response') IS NOT NULL),
+k AS (SELECT pair_id, {_KEY.format("coalesce(parent, '')")} AS p, {_KEY.format("response")} AS r FROM r WHERE response IS NOT NULL AND {_BARE.format("response")} NOT IN ('', {stand_ins}))
+SELECT keep_id, pair_id AS copy_id FROM (SELECT pair_id, min(pair_id) OVER (PARTITION BY p, r) AS keep_id FROM k) WHERE pair_id <> keep_id""",
+    }
