@@ -189,15 +189,20 @@ def candidates(words: list[str], space: Space, near: float, least: int) -> dict[
     if not len(starts) or not len(space.owner):
         return {}
     out: dict[int, list[int]] = {}
+    # sums of word vectors and of squared weights over any window, by differences of running sums
+    known_ids = np.maximum(ids, 0)
+    outside = ids < 0
+    weight = np.where(outside, space.rare, space.idf[known_ids]) ** 2
+    norms = np.concatenate([[0], np.cumsum(weight)])
     for at in range(0, len(starts), 512):
         part = starts[at : at + 512]
-        w = np.zeros((len(part), space.vectors.shape[1]), np.float32)
-        norm = np.zeros(len(part), np.float32)
-        for i, s in enumerate(part):
-            x = ids[s : s + width]
-            inside, counts = np.unique(x[x >= 0], return_counts=True)
-            w[i] = counts @ space.vectors[inside]
-            norm[i] = np.sqrt(((space.idf[inside] * counts) ** 2).sum() + (x < 0).sum() * space.rare**2)
+        low, high = int(part[0]), min(int(part[-1]) + width, n)
+        rows = space.vectors[known_ids[low:high]]
+        rows[outside[low:high]] = 0
+        sums = np.concatenate([np.zeros((1, rows.shape[1]), np.float32), np.cumsum(rows, axis=0, dtype=np.float32)])
+        stop = np.minimum(part + width, n)
+        w = sums[stop - low] - sums[part - low]
+        norm = np.sqrt(norms[stop] - norms[part]).astype(np.float32)
         # the cosine's other norm is that of the window itself, so that words outside the space count
         close = (w @ space.latent.T) / np.maximum(norm, 1e-9)[:, None]
         for i, j in zip(*np.nonzero(close >= near)):
