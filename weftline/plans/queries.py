@@ -599,10 +599,11 @@ def quant_error(spark, d):
 
 @query(f"WITH {_EMB} SELECT q.vec_id, list_sum(list_transform(range(1, 65), lambda i: q.q[i] * w.q[i]))::BIGINT AS product FROM q, (SELECT q FROM q WHERE vec_id = (SELECT min(vec_id) FROM v)) w")
 def int8_dot(spark, d):
-    # one query vector against all rows
+    # one stated query vector, as a literal, against all rows
     df = _quantized(spark, d)
-    w = df.orderBy("vec_id").limit(1).select(F.col("q").alias("w"))
-    return df.crossJoin(F.broadcast(w)).select("vec_id", A.int_dot(F.col("q"), F.col("w")).alias("product"))
+    first = df.orderBy("vec_id").limit(1).select("q").first()
+    w = F.array(*[F.lit(x) for x in (first.q if first else [])]).cast("array<int>")
+    return df.select("vec_id", A.int_dot(F.col("q"), w).alias("product"))
 
 
 _QUERIES = "z AS (SELECT vec_id AS query_id, e AS z FROM v WHERE vec_id % 20 = 0)"
