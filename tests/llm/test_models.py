@@ -83,6 +83,26 @@ def test_empty_pairs(spark, pair_model):
     assert np.isfinite(long).all()
 
 
+def test_ends_are_counted_exactly(spark):
+    rng = random.Random(6)
+    letters = "абвгдежзиклмнопрст"
+    texts = [" ".join("".join(rng.choice(letters) for _ in range(8)) for _ in range(6)) + "." for _ in range(20_000)] + ["Это звук. Да, это звук!", "да", None]
+    ends = pairs.end_counts(spark.createDataFrame([(t,) for t in texts], "t string"), "t").localCheckpoint()
+    assert ends.count() > 1 << 19
+    known = {pairs._key(x): n for x, n in {"1 звук": (2, 0), "1 это": (0, 2), "2 это звук": (2, 0), "1 да": (0, 1), "0 да": (1, 0)}.items()}
+    # cut words stay unseen however many others there are
+    cut = {pairs._key("1 " + "".join(rng.choice(letters) for _ in range(7))) for _ in range(2000)}
+    assert pairs.look_up(ends, known.keys() | cut) == known
+
+
+def test_counts_are_shares():
+    keys = [pairs._key(x) for x in pairs._tails(["это", "был", "звук"])] + [pairs._key("0 это был звук")]
+    counts = {k: (3 * i, i % 3) for i, k in enumerate(keys)}
+    small = pairs.count_features(keys, True, True, counts, 1.0)
+    assert np.allclose(small, pairs.count_features(keys, True, True, {k: (50 * e, 50 * i) for k, (e, i) in counts.items()}, 50.0))
+    assert len(small) == pairs.COUNTED and small[0] == -1.5 and small[9] == 3.0
+
+
 BAD = ["Ты просто {x}, и мать твоя это знает", "{x} ты, а не знаток", "Закрой рот, {x}", "Какой же ты {x}", "Хочу раздеть тебя прямо тут", "Скинь голые фотки", "Хортане не люди, гнать их отсюда", "Чтоб ты сдох", "Удавись, миру станет чище"]
 FINE = ["Главный герой полный идиот, но обаятельный", "Не надо называть людей дебилами", "Какой идиотский баланс", "Мой брат прошёл и хвалил звук", "Тварь из третьей главы надо бить огнём", "Прочитал, что меня назвали тварью за звук", "Смотря где играть, на даче терпимо", "Секс в кино снимают уютно, тут хотя бы сюжет", "Скинь скрин, летом гляну"]
 WORDS = ["идиот", "дебил", "мразь", "тупица", "урод", "кретин"]

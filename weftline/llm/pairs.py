@@ -8,7 +8,9 @@ language, replaced by a refusal, emptied. Its thresholds are the ones of best F1
 broken pairs at an assumed share of defects.
 
 The pairs to break are a sample of at most `sample_rows` rows, the first by hash of the id; the
-counts of sentence ends are taken over all rows, in a table of fixed size. Every row is scored.
+counts of sentence ends are taken over all rows and kept exactly, in a Spark table by 64-bit key
+that the rows' own ends are joined to. Features use their shares: above SHARE_ROWS rows all counts
+are divided alike, so that what is rare stays rare in a larger table. Every row is scored.
 
 A null response is empty. A null prompt is taken as an empty one: it can't be copied and has no
 language. Texts of any length are read whole. Ties go to the defect named first in DEFECTS. An
@@ -18,8 +20,10 @@ empty table gives no rows.
 from __future__ import annotations
 
 import re
+from collections import Counter
 from collections.abc import Iterator
 from difflib import SequenceMatcher
+from math import log
 
 import numpy as np
 import pyarrow as pa
@@ -29,6 +33,7 @@ from pyspark.sql import functions as F
 
 from weftline.llm import learn
 from weftline.llm.canon import canonical
+from weftline.plans.runtime import cut, hot_keys, salted_join
 
 DEFECTS = ["empty", "copy", "language", "refusal", "truncated"]
 
@@ -82,7 +87,12 @@ AFTER_REFUSALS = ["", "", "", "", " Могу рассказать о чём-ни
 BEFORE_COPIES = ["", "", "", "> ", "«", "Вопрос такой: ", "Ты спрашиваешь: ", "You ask: ", "— "]
 
 SIZE = 1 << 16
-END_BITS = 19
+#: Counts of tails are read as if there were at most so many rows.
+SHARE_ROWS = 200_000
+#: Different keys that a task counts before it passes them on.
+HELD_KEYS = 200_000
+#: Features that count_features() gives.
+COUNTED = 13
 _WORD = re.compile(r"[^\W\d_]+|\d+")
 _LETTERS = re.compile(r"[^\W\d_]")
 _ENDED = re.compile(r"[.!?…)»\"”’:;]\s*$|[\U0001F300-\U0001FAFF☀-➿]\s*$")
@@ -108,39 +118,62 @@ def _tails(words: list[str]) -> list[str]:
     return [f"1 {last}", f"2 {before} {last}", f"3 {before} ~{last[-2:]}", f"4 {third} {before}", f"5 ~{third[-2:]} ~{before[-2:]} ~{last[-3:]}", f"6 {third} ~{before[-2:]} ~{last[-2:]}", "7 " + " ".join(words[-4:])]
 
 
-def end_counts(df: DataFrame, text: str) -> np.ndarray:
-    """How often each hashed tail ends a sentence and how often it stands inside one, over all rows: (2^19, 2).
+def _key(x: str) -> int:
+    return xxhash.xxh3_64_intdigest(x) - (1 << 63)
 
-    The table has a fixed size whatever the input; it is summed in Spark before it is brought here.
-    """
-    size = 1 << END_BITS
+
+def end_counts(df: DataFrame, text: str) -> DataFrame:
+    """(key, ends, inside): how often each tail ends a sentence and how often it stands inside one, over all rows."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        sums = np.zeros((size, 2), np.int64)
+        ends, inside = Counter(), Counter()
+
+        def held() -> pa.RecordBatch:
+            keys = list(ends.keys() | inside.keys())
+            out = pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), pa.array([ends[k] for k in keys], pa.int64()), pa.array([inside[k] for k in keys], pa.int64())], ["key", "ends", "inside"])
+            ends.clear()
+            inside.clear()
+            return out
+
         for b in batches:
             for x in b.column(0).to_pylist():
                 # a short reply that many give is whole
                 whole = _WORD.findall(x.lower()) if len(x) < 60 else []
                 if 0 < len(whole) < 4:
-                    sums[_h("0 " + " ".join(whole), size), 0] += 1
+                    ends[_key("0 " + " ".join(whole))] += 1
                 # only sentences that end with a mark say where sentences end
                 at = 0
                 for m in _SENTENCE.finditer(x):
                     words = _WORD.findall(x[at : m.start()].lower())
                     at = m.end()
                     for i in range(1, len(words)):
-                        for key in _tails(words[max(0, i - 4) : i]):
-                            sums[_h(key, size), 1] += 1
-                    for key in _tails(words):
-                        sums[_h(key, size), 0] += 1
-        used = np.flatnonzero(sums.any(1))
-        yield pa.RecordBatch.from_arrays([pa.array(used), pa.array(sums[used, 0]), pa.array(sums[used, 1])], ["slot", "ends", "inside"])
-
-    sums = df.select(text).filter(f"{text} IS NOT NULL").mapInArrow(count, "slot long, ends long, inside long").groupBy("slot").agg(F.sum("ends").alias("ends"), F.sum("inside").alias("inside"))
-    out = np.zeros((size, 2), np.float32)
-    got = sums.toArrow()  # at most 2^19 rows
-    out[got.column("slot").to_numpy()] = np.stack([got.column(c).to_numpy() for c in ("ends", "inside")], 1)
-    return out
+                        inside.update(map(_key, _tails(words[max(0, i - 4) : i])))
+                    ends.update(map(_key, _tails(words)))
+                    if len(ends) + len(inside) > HELD_KEYS:
+                        yield held()
+        yield held()
+
+    counted = df.select(text).filter(f"{text} IS NOT NULL").mapInArrow(count, "key long, ends long, inside long")
+    return counted.groupBy("key").agg(F.sum("ends").alias("ends"), F.sum("inside").alias("inside"))
+
+
+def look_up(ends: DataFrame, keys: set[int]) -> dict[int, tuple[int, int]]:
+    """The counts of the given keys, which are those of a bounded sample."""
+    wanted = ends.sparkSession.createDataFrame(pa.table({"key": pa.array(sorted(keys), pa.int64())}))
+    got = ends.join(wanted, "key").select("key", "ends", "inside").toArrow()
+    return {k: (e, i) for k, e, i in zip(*(c.to_pylist() for c in got.columns))}
+
+
+def count_features(keys: list[int], several: bool, lower: bool, counts: dict[int, tuple[int, int]], scale: float) -> list[float]:
+    """What the counts say of a response's end: `keys` are its seven tails, if it is open, and itself, if it is short."""
+    tails, whole = keys[: len(keys) // 7 * 7], keys[len(keys) // 7 * 7 :]
+    scores, unseen = [0.0] * 7, False
+    if tails:
+        found = [[n / scale for n in counts.get(k, (0, 0))] for k in tails]
+        unseen = lower and sum(found[0]) < 2
+        scores = [max(-3.0, min(3.0, log((e + 0.3) / (i + 0.3)))) if e + i >= 1 else -1.5 for e, i in found]
+    usual = log(max(1.0, sum(counts.get(whole[0], (0, 0))) / scale)) if whole else 0.0
+    return [*scores, float(several and scores[0] < -1 and scores[1] < -1), min(scores), 3.0 * unseen, min(3.0, usual), 3.0 * float(usual > 0.6), sum(scores)]
 
 
 def _language(words: list[str], letters: str) -> np.ndarray:
@@ -149,13 +182,9 @@ def _language(words: list[str], letters: str) -> np.ndarray:
 
 
 class Featurizer:
-    """Features of a pair; `ends` is the table of end_counts()."""
+    """Features of a pair that need no counts, and the keys of those to count."""
 
-    def __init__(self, ends: np.ndarray) -> None:
-        self.ends = np.log((ends[:, 0] + 0.3) / (ends[:, 1] + 0.3))
-        self.seen = ends.sum(1)
-
-    def one(self, parent: str | None, response: str | None) -> tuple[list[int], list[float]]:
+    def one(self, parent: str | None, response: str | None) -> tuple[list[int], list[float], tuple[list[int], bool, bool]]:
         response = canonical(response or "")
         last = _WORD.findall(response)[-1:]
         parent, response = canonical(parent or "").lower(), response.lower()
@@ -181,25 +210,22 @@ class Featurizer:
         ended = float(bool(_ENDED.search(response)))
         lines = _SENTENCE.split(response.rstrip())
         tail = words if not lines[-1].strip() else _WORD.findall(lines[-1])
-        scores, unseen = [0.0] * 7, 0.0
-        if tail and not ended:
-            unseen = float(bool(last) and last[0].islower() and self.seen[_h(f"1 {tail[-1]}", len(self.ends))] < 2)
-            slots = [_h(x, len(self.ends)) for x in _tails(tail)]
-            scores = [float(self.ends[s]) if self.seen[s] > 0 else -1.5 for s in slots]
+        keys = [_key(x) for x in _tails(tail)] if not ended else []
+        if 0 < len(words) < 4:
+            keys.append(_key("0 " + " ".join(words)))
         open_ = 1.0 - ended
-        usual = float(np.log(max(1.0, self.seen[_h("0 " + bare_key, len(self.ends))]))) if 0 < len(words) < 4 and (bare_key := " ".join(words)) else 0.0
         dense = [
             1.0, 3.0 * empty, 3.0 * float(share > 0.7 and run > 0.6), share, run, 3.0 * float(share > 0.9), float(run > 0.9),
             3.0 * foreign, enough * abs(cyr - cyr_asked), 3.0 * enough * float(abs(cyr - cyr_asked) > 0.85), 3.0 * enough * float(cyr_asked > 0.5 and cyr < 0.1), 3.0 * enough * float(cyr_asked < 0.3 and cyr > 0.6),
             enough * 5 * float(own[len(COMMON) + 2]) * float(cyr_asked > 0), enough * 5 * float(own[len(COMMON) + 3]), enough * float(cyr < 0.1 and known < 0.1), known,
-            open_, *[open_ * max(-3.0, min(3.0, s)) for s in scores], open_ * float(len(tail) > 1 and scores[0] < -1 and scores[1] < -1), open_ * float(response.rstrip().endswith((",", "-", "—", "«"))), open_ * max(-3.0, min(scores)), float(len(tail) <= 1) * open_, min(len(words), 12) / 12, 3.0 * unseen, min(3.0, usual), 3.0 * float(usual > 0.6), open_ * sum(max(-3.0, min(3.0, s)) for s in scores),
+            open_, open_ * float(response.rstrip().endswith((",", "-", "—", "«"))), float(len(tail) <= 1) * open_, min(len(words), 12) / 12,
         ]
         grams = {_h(w, SIZE) for w in words} | {_h(f"{a} {b}", SIZE) for a, b in zip(words, words[1:])} | {_h(f"{a} {b} {c}", SIZE) for a, b, c in zip(words, words[1:], words[2:])}
-        return sorted(grams), dense
+        return sorted(grams), dense, (keys, len(tail) > 1, bool(last) and last[0].islower())
 
-    def many(self, parents: list, responses: list) -> tuple[list[list[int]], np.ndarray]:
+    def many(self, parents: list, responses: list) -> tuple[list[list[int]], np.ndarray, list[tuple[list[int], bool, bool]]]:
         rows = [self.one(p, r) for p, r in zip(parents, responses)]
-        return [r[0] for r in rows], np.array([r[1] for r in rows], np.float32).reshape(len(rows), -1)
+        return [r[0] for r in rows], np.array([r[1] for r in rows], np.float32).reshape(len(rows), -1), [r[2] for r in rows]
 
 
 def broken(pairs: list[tuple[str, str]], seed: int = 11) -> list[tuple[str, str, int]]:
@@ -247,14 +273,15 @@ def broken(pairs: list[tuple[str, str]], seed: int = 11) -> list[tuple[str, str,
 
 
 class Model:
-    """Weights and thresholds, some 1.5 MB whatever the input."""
+    """Weights and thresholds, some 1.5 MB whatever the input; the table of end_counts() stays in Spark."""
 
-    def __init__(self, pairs: list[tuple[str, str]], ends: np.ndarray, prior: float = 0.012) -> None:
-        self.features = Featurizer(ends)
+    def __init__(self, pairs: list[tuple[str, str]], ends: DataFrame, scale: float = 1.0, prior: float = 0.012) -> None:
+        self.features, self.ends, self.scale = Featurizer(), ends, scale
         rows = broken(pairs)
         if not rows:
             rows = [("", "", 0)]
-        grams, dense = self.features.many([r[0] for r in rows], [r[1] for r in rows])
+        grams, dense, tails = self.features.many([r[0] for r in rows], [r[1] for r in rows])
+        dense = np.hstack([dense, self.counted(tails)])
         y = np.array([[float(r[2] == k) for k in range(len(DEFECTS))] for r in rows], np.float32)
         x = learn.Sparse(grams)
         held = np.arange(len(rows)) % 5 == 4
@@ -277,33 +304,68 @@ class Model:
         #: By defect: share found of the held-out broken pairs, share of the others taken for it.
         self.report = {d: (float((hit & true)[:, k].sum() / max(1, true[:, k].sum())), float((hit & ~true)[:, k].sum() / max(1, len(y)))) for k, d in enumerate(DEFECTS)}
 
+    def __getstate__(self) -> dict:
+        return {k: v for k, v in self.__dict__.items() if k != "ends"}
+
+    def counted(self, tails: list[tuple[list[int], bool, bool]]) -> np.ndarray:
+        """The features from counts of a bounded number of rows, looked up in Spark."""
+        counts = look_up(self.ends, {k for keys, _, _ in tails for k in keys})
+        return np.array([count_features(*t, counts, self.scale) for t in tails], np.float32).reshape(len(tails), COUNTED)
+
+    def base(self, parents: list, responses: list) -> tuple[np.ndarray, list[tuple[list[int], bool, bool]]]:
+        """Margins without what the counts add, and what to count."""
+        grams, dense, tails = self.features.many(parents, responses)
+        return learn.linear_score(learn.Sparse(grams), dense, np.arange(len(grams)), self.w, self.v[:-COUNTED]) - self.cut, tails
+
     def margins(self, parents: list, responses: list) -> np.ndarray:
-        grams, dense = self.features.many(parents, responses)
-        return learn.linear_score(learn.Sparse(grams), dense, np.arange(len(grams)), self.w, self.v) - self.cut
+        s, tails = self.base(parents, responses)
+        return s + self.counted(tails) @ self.v[-COUNTED:]
 
 
 def fit(df: DataFrame, id_column: str, parent: str, response: str, sample_rows: int = 6000) -> Model:
     """Fit on at most `sample_rows` rows, the first by hash of the id; sentence ends are counted over all rows."""
     sample = df.select(F.col(parent).alias("p"), F.col(response).alias("r"), F.xxhash64(F.col(id_column)).alias("o")).filter("p IS NOT NULL AND r IS NOT NULL").orderBy("o", "p", "r").limit(sample_rows)
-    return Model([(r.p[:4000], r.r[:4000]) for r in sample.collect()], end_counts(df, response))
+    rows = df.filter(F.col(response).isNotNull()).count()
+    return Model([(r.p[:4000], r.r[:4000]) for r in sample.collect()], cut(end_counts(df, response)), max(1.0, rows / SHARE_ROWS))
 
 
 def defects(df: DataFrame, id_column: str, parent: str, response: str, model: Model) -> DataFrame:
     """(id, defect, margin) of every row with a defect."""
     shared = df.sparkSession.sparkContext.broadcast(model)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        m = shared.value
+    def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for at in range(0, b.num_rows, 1000):
                 part = b.slice(at, 1000)
-                s = m.margins(part.column(1).to_pylist(), part.column(2).to_pylist())
-                best = s.argmax(1)
-                # what is empty, copied or foreign is so whatever else it resembles
-                for k in (2, 1, 0):
-                    best[s[:, k] > 0] = k
-                hit = np.flatnonzero(s.max(1) > 0)
-                yield pa.RecordBatch.from_arrays([part.column(0).take(pa.array(hit)), pa.array([DEFECTS[best[i]] for i in hit], pa.string()), pa.array(s[hit, best[hit]].astype(float))], ["id", "defect", "margin"])
+                s, tails = shared.value.base(part.column(1).to_pylist(), part.column(2).to_pylist())
+                keys, several, lower = zip(*tails)
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(list(s.astype(float)), pa.list_(pa.float64())), pa.array(keys, pa.list_(pa.int64())), pa.array(several), pa.array(lower)], ["id", "base", "keys", "several", "lower"])
+
+    def decide(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        m = shared.value
+        for b in batches:
+            if not b.num_rows:
+                continue
+            s, keys, several, lower, counts = (b.column(i).to_pylist() for i in range(1, 6))
+            found = [{c["key"]: (c["ends"], c["inside"]) for c in x or ()} for x in counts]
+            s = np.array(s) + np.array([count_features(*x, m.scale) for x in zip(keys, several, lower, found)]) @ m.v[-COUNTED:]
+            best = s.argmax(1)
+            # what is empty, copied or foreign is so whatever else it resembles
+            for k in (2, 1, 0):
+                best[s[:, k] > 0] = k
+            hit = np.flatnonzero(s.max(1) > 0)
+            yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(hit)), pa.array([DEFECTS[best[i]] for i in hit], pa.string()), pa.array(s[hit, best[hit]].astype(float))], ["id", "defect", "margin"])
 
     kind = dict(df.dtypes)[id_column]
-    return df.select(id_column, parent, response).mapInArrow(run, f"id {kind}, defect string, margin double")
+    rows = df.select(id_column, parent, response).mapInArrow(score, f"id {kind}, base array<double>, keys array<long>, several boolean, lower boolean")
+    rows = cut(rows.withColumn("end", F.when(F.size("keys") > 0, F.xxhash64("keys"))))
+    # each different end is looked up once; the texts themselves are not shuffled
+    looked = rows.filter("end IS NOT NULL")
+    sizes = cut(looked.groupBy("end").agg(F.first("keys").alias("keys"), F.count("*").alias("n")))
+    each = sizes.select("end", F.explode("keys").alias("key"))
+    found = salted_join(each, model.ends, "key", F.col("end"), hot_keys(each.groupBy("key").agg(F.count("*").alias("n")), "key", "n"))
+    counts = found.groupBy("end").agg(F.collect_list(F.struct("key", "ends", "inside")).alias("counts"))
+    looked = salted_join(looked, counts, "end", F.col("id"), hot_keys(sizes, "end", "n"), "left")
+    columns = ["id", "base", "keys", "several", "lower"]
+    whole = rows.filter("end IS NULL").select(*columns, F.lit(None).cast(counts.schema["counts"].dataType).alias("counts"))
+    return looked.select(*columns, "counts").union(whole).mapInArrow(decide, f"id {kind}, defect string, margin double")
