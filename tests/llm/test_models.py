@@ -180,6 +180,34 @@ def test_leaks_against_brute_force(spark):
     assert leaks.leaks(df.limit(0), "doc_id", "text", space).count() == 0
 
 
+def test_quotes_of_common_words(spark):
+    """Common words among rare ones, whose cosine is low: unbroken, with one odd word, and 14 words with two."""
+    rng = random.Random(12)
+    common, rare = VOCABULARY[:14], VOCABULARY[14:60]
+    passages = [(1, " ".join([*rare[:12], *common, *rare[12:24]]))]
+    docs = [(i, " ".join(rng.sample(common, 14))) for i in range(300)]
+    quotes = [common[:12], [*common[:6], "иначе", *common[7:12]], [*common[:4], "иначе", *common[5:9], "никак", *common[10:]]]
+    for k, q in enumerate(quotes):
+        docs += [(1000 + k, " ".join([*rare[30:38], *q, *rare[38:46]])), (2000 + k, " ".join([*(f"чужое{j}" for j in range(8)), *q, *(f"слово{j}" for j in range(8))]))]
+    docs.append((3000, " ".join([*rare[30:38], *common[:8], *rare[38:46]])))
+    df = spark.createDataFrame(docs, "doc_id long, text string")
+    space = leaks.build(df, "text", spark.createDataFrame(passages, "passage_id long, text string"), "passage_id", "text")
+    got = sorted(r.doc_id for r in leaks.leaks(df, "doc_id", "text", space).collect())
+    assert got == [1000, 1001, 1002, 2000, 2001, 2002]
+
+
+def test_outside_words_do_not_count():
+    vocabulary = {w: i for i, w in enumerate(VOCABULARY[:20])}
+    space = object.__new__(leaks.Space)
+    space.vocabulary, space.width, space.step, space.words, space.owner = vocabulary, 16, 4, [VOCABULARY[:16]], np.array([0])
+    space.idf = np.ones(20, np.float32)
+    space.vectors, space.latent = np.eye(20, dtype=np.float32), np.array([[0.25] * 16 + [0] * 4], np.float32)
+    words = [*VOCABULARY[:12:2], "а", "б", "в", "г", *VOCABULARY[1:12:2]]
+    # twelve words of sixteen, not in order: the cosine is sqrt(12 / 16) whatever stands between
+    assert leaks.candidates(words, space, 0.86, 12, leaks.Seeds(space, 12)) == {0: [0]}
+    assert leaks.seed_size(12) == 4 and leaks.seed_size(5) == 2
+
+
 def test_answers_and_no_passages(spark):
     df = spark.createDataFrame([(1, "а б в г д е ж з и к л м н ответ тут")], "doc_id long, text string")
     p = spark.createDataFrame([(1, "а б в г д е ж з и к л м")], "passage_id long, text string")

@@ -1,11 +1,13 @@
 """P8: evaluation passages inside corpus documents, found by latent semantic retrieval.
 
-Texts are read as words in one character form. Inverse document frequencies are counted over all
-documents. The TF-IDF matrix of the passages' word windows is factored by a randomised SVD whose
+Texts are read as words in one character form. Inverse document frequencies of the passages' words
+are counted over all documents; other words count nowhere. The TF-IDF matrix of the passages' word windows is factored by a randomised SVD whose
 products are sums over rows, taken in Spark; only matrices of vocabulary x rank, of a size set by
 the evaluation material, come to the driver. Windows of every document are projected into the
 latent space; a window whose cosine with one of a passage's windows reaches `near` makes the pair
-a candidate. Around the candidate windows the words of both are then aligned: the pair counts when
+a candidate, and so does a seed, a run of neighbouring words so short that every quote with at most
+one odd word in seven has one whole (4 words for quotes of 12): common words among rare ones have
+a low cosine at any corpus size. Around the candidate windows the words of both are then aligned: the pair counts when
 at least `least` consecutive words of the passage stand there, with an odd word changed, lost or
 added (and, where answers are given, is marked when the answer stands in the document too).
 
@@ -74,7 +76,6 @@ class Space:
         self.vocabulary, self.width, self.step = vocabulary, width, step
         self.idf = (np.log((n_docs + 1) / (df + 0.5)) + 0.1).astype(np.float32)
         self.idf = np.maximum(self.idf, 0.1)
-        self.rare = float(np.log((n_docs + 1) / 0.5) + 0.1)
         self.ids = [p[0] for p in passages]
         self.words = [p[1] for p in passages]
         windows = [(i, w[s : s + width]) for i, w in enumerate(self.words) for s in _starts(len(w), width, step)]
@@ -177,8 +178,42 @@ def build(docs: DataFrame, text: str, passages: DataFrame, passage_id: str, pass
     return Space(docs.sparkSession, kept, df, n, vocabulary, width, step, rank)
 
 
-def candidates(words: list[str], space: Space, near: float, least: int) -> dict[int, list[int]]:
-    """For each passage (by number) the starts of the document's windows that come near it."""
+def seed_size(least: int) -> int:
+    """Neighbouring words that any quote of `least` words or more, with at most one odd word in seven and one in any case, holds unbroken."""
+    odd = lambda n: max(1, n // 7)
+    return max(1, min(-(-(n - odd(n)) // (odd(n) + 1)) for n in range(least, least + 15)))
+
+
+def _seed_hashes(ids: np.ndarray, size: int) -> np.ndarray:
+    out = np.zeros(max(0, len(ids) - size + 1), np.uint64)
+    for k in range(size):
+        out = (out ^ (ids[k : k + len(out)].astype(np.uint64) + np.uint64(1))) * np.uint64(0x9E3779B97F4A7C15)
+        out ^= out >> np.uint64(29)
+    return out
+
+
+class Seeds:
+    """Hashes of the passages' runs of `size` words, sorted, with their passages (by number)."""
+
+    def __init__(self, space: Space, least: int) -> None:
+        self.size = seed_size(least)
+        each = [np.unique(_seed_hashes(np.array([space.vocabulary[x] for x in w], np.int64), self.size)) for w in space.words]
+        hashes = np.concatenate([np.zeros(0, np.uint64), *each])
+        order = np.argsort(hashes, kind="stable")
+        self.hashes, self.owner = hashes[order], np.repeat(np.arange(len(each)), [len(x) for x in each])[order]
+
+    def find(self, ids: np.ndarray) -> Iterator[tuple[int, int]]:
+        """(passage, place in the document) of each seed found; a hash that meets by chance is refuted by the alignment."""
+        h = _seed_hashes(ids, self.size)
+        outside = np.concatenate([[0], np.cumsum(ids < 0)])
+        low, high = np.searchsorted(self.hashes, h, "left"), np.searchsorted(self.hashes, h, "right")
+        for i in np.flatnonzero((high > low) & (outside[self.size :] == outside[: -self.size])) if len(h) else ():
+            for j in range(low[i], high[i]):
+                yield int(self.owner[j]), int(i)
+
+
+def candidates(words: list[str], space: Space, near: float, least: int, seeds: Seeds) -> dict[int, list[int]]:
+    """For each passage (by number) the starts of the document's windows that come near it, and the places of seeds."""
     ids = np.fromiter((space.vocabulary.get(w, -1) for w in words), np.int64, len(words))
     n, width = len(ids), space.width
     known = np.concatenate([[0], np.cumsum(ids >= 0)])
@@ -192,7 +227,7 @@ def candidates(words: list[str], space: Space, near: float, least: int) -> dict[
     # sums of word vectors and of squared weights over any window, by differences of running sums
     known_ids = np.maximum(ids, 0)
     outside = ids < 0
-    weight = np.where(outside, space.rare, space.idf[known_ids]) ** 2
+    weight = np.where(outside, 0, space.idf[known_ids]) ** 2
     norms = np.concatenate([[0], np.cumsum(weight)])
     for at in range(0, len(starts), 512):
         part = starts[at : at + 512]
@@ -203,28 +238,30 @@ def candidates(words: list[str], space: Space, near: float, least: int) -> dict[
         stop = np.minimum(part + width, n)
         w = sums[stop - low] - sums[part - low]
         norm = np.sqrt(norms[stop] - norms[part]).astype(np.float32)
-        # the cosine's other norm is that of the window itself, so that words outside the space count
+        # the cosine's other norm is that of the window's own words of the passages
         close = (w @ space.latent.T) / np.maximum(norm, 1e-9)[:, None]
         for i, j in zip(*np.nonzero(close >= near)):
             found = out.setdefault(int(space.owner[j]), [])
             if not found or found[-1] != int(part[i]):
                 found.append(int(part[i]))
+    for j, i in seeds.find(ids):
+        out.setdefault(j, []).append(i)
     return out
 
 
 def leaks(docs: DataFrame, doc_id: str, text: str, space: Space, near: float = 0.35, least: int = 12, answers: dict | None = None) -> DataFrame:
     """(doc_id, passage_id, n_words, answered): documents that quote passages, with the words of the longest quote."""
-    shared = docs.sparkSession.sparkContext.broadcast((space, {k: words_of(v) for k, v in (answers or {}).items()}))
+    shared = docs.sparkSession.sparkContext.broadcast((space, Seeds(space, least), {k: words_of(v) for k, v in (answers or {}).items()}))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        s, given = shared.value
+        s, seeds, given = shared.value
         for b in batches:
             rows = []
             for i, t in enumerate(b.column(1).to_pylist()):
                 words = words_of(t)
                 if len(words) < least - 4:
                     continue
-                for p, found in candidates(words, s, near, least).items():
+                for p, found in candidates(words, s, near, least, seeds).items():
                     passage, best = s.words[p], 0
                     at = 0
                     found = sorted(set(found))
