@@ -5,6 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from weftline.operators import dedup, filters, joins, judging, packing, reports, sampling
+from weftline.plans.queries import QUERIES
 from weftline.sources import files, ledger
 from weftline.streaming import decisions
 
@@ -204,3 +205,21 @@ def test_stream(spark, tmp_path):
     run()
     run()
     assert sorted(map(tuple, ledger.read(spark, log, log_schema).collect())) == [("1", "accepted"), ("2", "rejected"), ("3", "accepted")]
+
+
+def test_original_candidates_have_no_copies(spark, tmp_path):
+    asked = "какая игра вам нравится больше всего сегодня".split()
+    rows = [(i, " ".join(asked), " ".join(["Знаете", *asked[:i], "вот"]) + ".", 10) for i in range(8)]
+    rows += [(20, " ".join(asked), "Мне нравится другая.", 9), (21, "а б в г", "ну а б в г да вот", 30), (22, None, "Мне нравится другая.", 30), (23, " ".join(asked), None, 30), (24, " ".join(asked), "Мне нравится другая.", None)]
+    spark.createDataFrame(rows, "pair_id long, parent string, response string, response_likes long").write.parquet(f"{tmp_path}/clean_pairs.parquet")
+
+    def copied(p, r):
+        p, r = p.lower().split(), r.lower().rstrip(".").split()
+        runs = [n for n in range(5, len(p) + 1) if any(p[i : i + n] == r[j : j + n] for i in range(len(p) - n + 1) for j in range(len(r) - n + 1))]
+        return len(p) >= 5 and bool(runs) and max(runs) / len(p) >= 0.8
+
+    got = {r.pair_id for r in QUERIES["original_candidates_full"](spark, str(tmp_path)).collect()}
+    # null is kept, as in all filters
+    assert got - {22, 23} == {i for i, p, r, n in rows if p and r and n and n >= 10 and not copied(p, r)} == {0, 1, 2, 3, 4, 5, 21}
+    # the part of the rule that SQL has keeps the copies
+    assert got | {6, 7} == {r.pair_id for r in QUERIES["original_candidates"](spark, str(tmp_path)).collect()}

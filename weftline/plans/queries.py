@@ -314,6 +314,13 @@ def original_candidates(spark, d):
     return df.filter((F.col("response_likes") >= 10) & filters.response_rejection(F.col("parent"), F.col("response"), copies=False).isNull())
 
 
+# the whole rule, with the longest common run; tested against brute force
+@query()
+def original_candidates_full(spark, d):
+    df = table(spark, d, "clean_pairs", "pair_id", "parent", "response", "response_likes")
+    return df.filter(F.col("response_likes") >= 10).filter(filters.response_rejection(F.col("parent"), F.col("response")).isNull())
+
+
 @query(f"""SELECT pair_id, parent, response_likes FROM (SELECT *, row_number() OVER (PARTITION BY {s_norm('parent')} ORDER BY pair_id) AS n FROM clean_pairs WHERE length(parent) BETWEEN 8 AND 600 AND response_likes >= 5) WHERE n = 1""")
 def eligible_prompts(spark, d):
     df = table(spark, d, "clean_pairs", "pair_id", "parent", "response_likes").filter(F.char_length("parent").between(8, 600) & (F.col("response_likes") >= 5))
