@@ -223,3 +223,11 @@ def test_original_candidates_have_no_copies(spark, tmp_path):
     assert got - {22, 23} == {i for i, p, r, n in rows if p and r and n and n >= 10 and not copied(p, r)} == {0, 1, 2, 3, 4, 5, 21}
     # the part of the rule that SQL has keeps the copies
     assert got | {6, 7} == {r.pair_id for r in QUERIES["original_candidates"](spark, str(tmp_path)).collect()}
+
+
+def test_strict_prompts_are_not_near_evaluation(spark, tmp_path):
+    rows = [(1, "Какая игра лучше всех в мире"), (2, "Какая игра лучше всех в мире?"), (3, "Какая игра лучше всех в мире"), (4, "Какой фильм посмотреть вечером"), (5, "Сегодня дождь и ветер"), (6, None)]
+    spark.createDataFrame(rows, "pair_id long, parent string").write.parquet(f"{tmp_path}/clean_pairs.parquet")
+    spark.createDataFrame([("какая игра лучше всех в мире",), (None,)], "prompt string").write.parquet(f"{tmp_path}/eval_stage3_exclude.parquet")
+    got = {n: sorted(r.pair_id for r in QUERIES[n](spark, str(tmp_path)).collect()) for n in ("strict_prompts", "strict_prompts_full")}
+    assert got == {"strict_prompts": [1, 2, 3, 4], "strict_prompts_full": [4]}

@@ -336,6 +336,12 @@ def strict_prompts(spark, d):
 
 
 # near-equal exclusion has no SQL form
+@query()
+def strict_prompts_full(spark, d):
+    df = table(spark, d, "clean_pairs", "pair_id", "parent").filter(filters.on_topic(F.col("parent")))
+    return joins.mark_near(df, "parent", table(spark, d, "eval_stage3_exclude", "prompt"), "prompt").filter("NOT near").drop("near")
+
+
 @query()
 def strict_originals(spark, d):
     df = table(spark, d, "clean_pairs", "pair_id", "parent", "response", "response_likes")
