@@ -95,6 +95,12 @@ def test_ends_are_counted_exactly(spark):
     assert pairs.look_up(ends, known.keys() | cut) == known
 
 
+def test_fit_reads_whole_texts(spark, monkeypatch):
+    monkeypatch.setattr(pairs, "Model", lambda sample, *_: sample)
+    rows = [(1, "вопрос " * 900 + "или нет?", "слово " * 900 + "конец.")]
+    assert pairs.fit(spark.createDataFrame(rows, "pair_id long, parent string, response string"), "pair_id", "parent", "response") == [rows[0][1:]]
+
+
 def test_counts_are_shares():
     keys = [pairs._key(x) for x in pairs._tails(["это", "был", "звук"])] + [pairs._key("0 это был звук")]
     counts = {k: (3 * i, i % 3) for i, k in enumerate(keys)}

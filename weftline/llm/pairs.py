@@ -326,7 +326,7 @@ def fit(df: DataFrame, id_column: str, parent: str, response: str, sample_rows:
     """Fit on at most `sample_rows` rows, the first by hash of the id; sentence ends are counted over all rows."""
     sample = df.select(F.col(parent).alias("p"), F.col(response).alias("r"), F.xxhash64(F.col(id_column)).alias("o")).filter("p IS NOT NULL AND r IS NOT NULL").orderBy("o", "p", "r").limit(sample_rows)
     rows = df.filter(F.col(response).isNotNull()).count()
-    return Model([(r.p[:4000], r.r[:4000]) for r in sample.collect()], cut(end_counts(df, response)), max(1.0, rows / SHARE_ROWS))
+    return Model([(r.p, r.r) for r in sample.collect()], cut(end_counts(df, response)), max(1.0, rows / SHARE_ROWS))
 
 
 def defects(df: DataFrame, id_column: str, parent: str, response: str, model: Model) -> DataFrame:
