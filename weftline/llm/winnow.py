@@ -3,8 +3,8 @@
 Both sides are folded (one character form, lower case, letters and digits only) and collapsed to
 distinct texts, so that copies cost nothing. Each text gives the rolling hashes of its k-grams;
 of every `window` neighbours the smallest is selected, so any common run of window + k - 1
-characters shares a selected hash. Selected hashes are joined across the sides; the seeds of a pair
-of texts are chained in order and extended by an alignment of the whole texts, computed bit-parallel.
+characters shares a selected hash. Selected hashes are joined across the sides; texts that share one
+are aligned whole, computed bit-parallel. The chain of their seeds is reported and decides nothing.
 A pair counts when twice the aligned characters make up `least` of both texts, or when the
 evaluation text is covered whole by a training text at most `longer` times as long.
 
