@@ -25,10 +25,11 @@ def _sums(values: np.ndarray, group: np.ndarray, n: int) -> np.ndarray:
     return np.stack([np.bincount(group, c, n) for c in values.T], 1).astype(np.float32)
 
 
-def linear_fit(rows: Sparse, dense: np.ndarray, labels: np.ndarray, at: np.ndarray, size: int, epochs: int = 10, rate: float = 0.3, l2: float = 1e-6, batch: int = 512, seed: int = 7) -> tuple[np.ndarray, np.ndarray]:
+def linear_fit(rows: Sparse, dense: np.ndarray, labels: np.ndarray, at: np.ndarray, size: int, epochs: int = 10, rate: float = 0.3, l2: float = 1e-6, batch: int = 512, seed: int = 7, allowed: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
     """Multi-label logistic regression by AdaGrad on hashed and dense features of the rows `at`.
 
-    Returns weights (size, labels) and (dense columns, labels).
+    Returns weights (size, labels) and (dense columns, labels). `allowed`, of the latter's shape, is 0 where a
+    label may not use a dense column.
     """
     rng = np.random.default_rng(seed)
     k = labels.shape[1]
@@ -46,6 +47,7 @@ def linear_fit(rows: Sparse, dense: np.ndarray, labels: np.ndarray, at: np.ndarr
             gw[used] += g * g
             w[used] -= rate * g / np.sqrt(gw[used])
             g = dense[b].T @ e + l2 * v
+            g = g if allowed is None else g * allowed
             gv += g * g
             v -= rate * g / np.sqrt(gv)
     return w, v
@@ -56,17 +58,30 @@ def linear_score(rows: Sparse, dense: np.ndarray, at: np.ndarray, w: np.ndarray,
     return _sums(w[f], row, len(at)) / np.sqrt(np.maximum(1, rows.sizes[at]))[:, None].astype(np.float32) + dense[at] @ v
 
 
-def best_threshold(scores: np.ndarray, truth: np.ndarray, prior: float) -> float:
-    """The score that gives the best F1 if a share `prior` of all rows were true."""
-    order = np.argsort(-scores)
-    hit = truth[order].astype(float)
-    tp = np.cumsum(hit) / max(1, hit.sum()) * prior
-    fp = np.cumsum(1 - hit) / max(1, (1 - hit).sum()) * (1 - prior)
-    f1 = 2 * tp / (tp + fp + prior)
-    best = np.flatnonzero(f1 >= f1.max() - 1e-9)
-    i = best[len(best) // 2]
-    s = scores[order]
-    return float(s[i] if i + 1 >= len(s) else (s[i] + s[i + 1]) / 2)
+def calibrate(positive: np.ndarray, negative: np.ndarray, mixed: np.ndarray, rounds: int = 200) -> tuple[float, float, float]:
+    """Slope and offset of log odds from scores, and the share of positives among the `mixed` scores.
+
+    A logistic curve is fitted to the scores of known positives and negatives; the share of positives
+    in the mixed population is then estimated by expectation-maximization, and the curve moved to it.
+    """
+    s, y = np.concatenate([positive, negative]), np.concatenate([np.ones(len(positive)), np.zeros(len(negative))])
+    # both classes weigh alike, and one pseudo-row of each keeps the curve finite
+    weight = np.where(y > 0, 0.5 / max(1, len(positive)), 0.5 / max(1, len(negative)))
+    target = np.where(y > 0, (len(positive) + 1) / (len(positive) + 2), 1 / (len(negative) + 2))
+    a, b = 1.0, 0.0
+    for _ in range(50):
+        p = 1 / (1 + np.exp(-np.clip(a * s + b, -30, 30)))
+        g, h = weight * (p - target), np.maximum(weight * p * (1 - p), 1e-12)
+        m = np.array([[(h * s * s).sum() + 1e-6, (h * s).sum()], [(h * s).sum(), h.sum() + 1e-6]])
+        step = np.linalg.solve(m, [(g * s).sum() + 1e-6 * (a - 1), g.sum()])
+        a, b = a - step[0], b - step[1]
+        if abs(step).max() < 1e-9:
+            break
+    ratio = np.exp(np.clip(a * mixed + b, -30, 30))
+    share = 0.05
+    for _ in range(rounds):
+        share = float(np.clip((share * ratio / (share * ratio + 1 - share)).mean(), 1e-6, 1 - 1e-6))
+    return float(a), float(b + np.log(share / (1 - share))), share
 
 
 class Boosted:

@@ -1,16 +1,19 @@
 """P3: broken prompt and response pairs, found by a multi-label linear classifier.
 
-Features of a pair are hashed n-grams of the response and a few dense pair features: how much of
-the prompt the response repeats, how the languages of the two differ, how often its last words end
-a sentence elsewhere, and whether anything readable stands there. The classifier is trained on
-responses broken on purpose: cut off, copied from the prompt, swapped with a response in another
-language, replaced by a refusal, emptied. Its thresholds are the ones of best F1 on held-out
-broken pairs at an assumed share of defects.
+Features of a pair are hashed n-grams of the response and dense pair features: how much of the
+prompt the response repeats, how the languages of the two differ, whether its last words end a
+sentence elsewhere or its last word is the beginning of others, and whether anything readable
+stands there. The classifier is trained on responses broken on purpose: cut off, copied from the
+prompt, swapped with a response in another language, replaced by a composed refusal, emptied.
+
+Scores are calibrated: a logistic curve is fitted to cross-fitted scores of the broken against the
+real rows, the share of each defect among the real rows is estimated by expectation-maximization,
+and a row is flagged when its posterior is above one half; of several defects the surest counts.
 
 The pairs to break are a sample of at most `sample_rows` rows, the first by hash of the id; the
 counts of sentence ends are taken over all rows and kept exactly, in a Spark table by 64-bit key
-that the rows' own ends are joined to. Features use their shares: above SHARE_ROWS rows all counts
-are divided alike, so that what is rare stays rare in a larger table. Every row is scored.
+that the rows' own ends are joined to. Only places inside sentences and ends with a mark are
+counted, so a cut response never vouches for itself, however large the table is.
 
 A null response is empty. A null prompt is taken as an empty one: it can't be copied and has no
 language. Texts of any length are read whole. Ties go to the defect named first in DEFECTS. An
@@ -39,65 +42,76 @@ DEFECTS = ["empty", "copy", "language", "refusal", "truncated"]
 
 # What stands for an empty text, by its letters and digits in lower case.
 STAND_INS = """
-null none nil nan na undefined br nbsp amp удалено удален удалена deleted removed empty пусто нетданных
+null none nil nan na undefined br nbsp amp удалено удален удалена deleted removed empty пусто нетданных нетответа безответа noanswer noresponse nodata notavailable
+комментарийудален сообщениеудалено commentdeleted commentremoved
 """.split()
 
-# Frequent short words by language.
+# The most frequent function words of some languages.
 COMMON = {
-    "ru": "и в не на что с по как это то все она так его но да ты к у же вы за бы только мне было вот от меня еще нет о из ему теперь когда даже ну вдруг ли если уже или ни быть был него до вас там потом себя ничего ей может они тут где есть надо для мы тебя их чем была сам чтоб без будто чего раз тоже себе под будет ж тогда кто этот потому какой",
-    "uk": "і в не на що з як це то та але так ти до у ж ви за б тільки мені було від мене ще ні про із йому тепер коли навіть ну чи якщо вже або бути був він вона вони там потім себе нічого може тут де є треба для ми тебе їх ніж бо хоча здається дуже якраз зараз надто друзями весело всім грав",
-    "en": "the of and to in is it you that was for on are with as they be at one have this from or had by but not what all were when your can said there use an each which she do how their if will up other about out many then them these so some her would make like him into has look more write go see no way could my than been call who its now find down did get come made may part the a i me just really only",
-    "de": "der die das und ist nicht ich es ein eine zu in den mit auf für von dem sich des auch an als hat er sie wie bei nur noch nach man aber so wenn über mir mich dort ziemlich etwas ohne läuft finde war gefallen ehrlich merkt kaum gewöhnt daran besser",
-    "pl": "nie się na w z i do że jest to jak ale co za po tak od był była było bardzo mi teraz bo jest tam może już tylko przez dla przy ich jego czy zbyt moim zdaniem można zgadzam akurat poczekaj całkiem podobała",
-    "fr": "le la les de des et est un une je tu il elle nous vous que qui dans pour pas sur avec plus ce cette mais ou très",
-    "es": "el la los las de y es un una yo que en por para no con más pero muy se lo como su esta este está",
+    "ru": "и в не на что с по как это то все она так его но да ты к у же вы за бы только мне было вот от меня еще нет о из ему теперь когда даже ну вдруг ли если уже или ни быть был него до вас там потом себя ничего ей может они тут где есть надо для мы тебя их чем была сам чтоб без будто чего раз тоже себе под будет ж тогда кто этот потому какой про при об над под через между после перед ради кроме вместо такой такие эта эти это себя чтобы который будет где здесь",
+    "uk": "і в не на що з як це то та але так ти до у ж ви за б тільки мені було від мене ще ні про із йому тепер коли навіть чи якщо вже або бути був він вона вони там потім себе нічого може тут де є треба для ми тебе їх ніж бо хоча дуже якраз зараз надто",
+    "be": "і ў не на што з як гэта але так ты да у ж вы за б толькі мне было ад мяне яшчэ не пра яму цяпер калі нават ці калі ўжо або быць быў ён яна яны там потым нічога можа тут дзе ёсць трэба для мы цябе іх чым бо вельмі",
+    "en": "the of and to in is it you that was for on are with as they be at one have this from or had by but not what all were when your can said there use an each which she do how their if will up other about out many then them these so some her would make like him into has look more write go see no way could my than been call who its now find down did get come made may part a i me just really only",
+    "de": "der die das und ist nicht ich es ein eine zu in den mit auf für von dem sich des auch an als hat er sie wie bei nur noch nach man aber so wenn über mir mich dort etwas ohne war haben wird sind oder aus kann schon dann doch mehr sehr immer",
+    "pl": "nie się na w z i do że jest to jak ale co za po tak od był była było bardzo mi teraz bo tam może już tylko przez dla przy ich jego czy zbyt można są ma być lub kiedy jeszcze więcej który która mnie",
+    "fr": "le la les de des et est un une je tu il elle nous vous que qui dans pour pas sur avec plus ce cette mais ou très au aux ne se son sa ses en on par comme être avoir fait si tout bien aussi",
+    "es": "el la los las de y es un una yo que en por para no con más pero muy se lo como su esta este está al del si ya me le ha son ser hay todo también cuando sin sobre",
+    "it": "il lo la gli le di e è un una che in per non con più ma molto si come su questo questa al del della se mi ha sono essere anche tutto quando senza alla",
+    "pt": "o a os as de e é um uma que em por para não com mais mas muito se como seu sua este esta ao do da no na já me foi são ser também quando sem isso você",
 }
 COMMON = {k: frozenset(v.split()) for k, v in COMMON.items()}
 
-# Ways to refuse; {} stands for what it is about.
-REFUSALS = """
-Не стану отвечать, такой запрос нарушает правила.
-Извините, но я не могу обсуждать {}.
-Извините, я не могу с этим помочь.
-К сожалению, не имею возможности ответить на вопрос про {}.
-К сожалению, я не могу ответить на этот вопрос.
-Вынужден отказаться, на подобные темы я не общаюсь.
-Как языковая модель, я не имею личного отношения к {}.
-Я всего лишь языковая модель и не могу высказывать мнение про {}.
-Мне запрещено рассуждать о {}.
-Обратитесь к специалисту, советов про {} я не даю.
-Боюсь, ответить не получится: информация недоступна для меня.
-Простите, эта просьба выходит за рамки того, с чем мне разрешено помогать.
-Давайте сменим тему, о {} мне говорить нельзя.
-Я не вправе обсуждать {}, спросите о чём-нибудь другом.
-I'm sorry, but I can't help with the {}.
-I'm sorry, I cannot assist with that request.
-I'd rather not discuss the {}, please ask about something else.
-This request is something I have to decline.
-Unfortunately I am unable to answer questions about {}.
-As a language model I have no opinion on the {}.
-As an AI I cannot comment on the {}.
-I won't answer that, it is against the rules.
-""".strip().split("\n")
-# Words that leave a sentence hanging.
-HANGING = """
- а вот| например,| из-за|, и| потому что| который| чтобы| и| но| что| в| на| с|, а| хотя| если|, во-|, потому| так как| как| and| because| but the| so that| which| with the| of|, and| when| if you
-""".strip("\n").split("|")
-AFTER_REFUSALS = ["", "", "", "", " Могу рассказать о чём-нибудь нейтральном.", " Спросите о чём-нибудь другом.", " Надеюсь на понимание.", " Хорошего дня.", " Please ask about something else.", " I hope you understand."]
+# Parts that refusals are composed of; {} stands for what it is about.
+REFUSAL_PARTS = {
+    "ru": {
+        "opening": "||||Извините, |Простите, |К сожалению, |Увы, |Сожалею, но |Боюсь, |Прошу прощения, |Мне очень жаль, но |Нет, |Извините, но |Простите, но ",
+        "act": """я не могу ответить на этот вопрос|я не могу обсуждать {}|я не могу говорить о {}|не могу помочь с этим|не могу выполнить эту просьбу|я не смогу помочь|не смогу ответить на такой вопрос|ответить на это невозможно|ответить не получится|я отказываюсь отвечать|вынужден отказаться отвечать|вынужден отказать|я не стану отвечать на это|не буду это комментировать|я не комментирую {}|я не отвечаю на подобные вопросы|на такие темы я не разговариваю|подобные темы я не обсуждаю|я не даю советов про {}|я не имею права обсуждать {}|мне не разрешено говорить о {}|мне запрещено обсуждать {}|у меня нет возможности ответить про {}|у меня нет права отвечать на это|я не вправе высказываться о {}|я воздержусь от ответа|предпочитаю не отвечать|предпочту не обсуждать {}|эта просьба выходит за рамки моих возможностей|этот запрос нарушает правила, отвечать я не стану|такой запрос противоречит правилам|я не располагаю такой информацией и ответить не могу|такая информация мне недоступна""",
+        "self": "как языковая модель, я не имею мнения о {}|я языковая модель и не могу иметь мнения о {}|я всего лишь программа и не могу судить о {}|как искусственный интеллект, я не высказываю мнений про {}|будучи ботом, я не могу оценивать {}|как виртуальный помощник, я не обсуждаю {}|у меня как у модели нет личного отношения к {}",
+        "redirect": "||||||. Обратитесь к специалисту|. Лучше спросите специалиста|. Давайте поговорим о другом|. Давайте сменим тему|. Задайте другой вопрос|. Спросите что-нибудь другое|. Могу помочь с другой темой|, это против правил|, это запрещено правилами|, это не входит в мои задачи|. Надеюсь на понимание|. Спасибо за понимание|. Хорошего дня",
+    },
+    "en": {
+        "opening": "||||I'm sorry, but |Sorry, |Unfortunately, |I apologize, but |I'm afraid |My apologies, but |No, ",
+        "act": """I can't help with that|I cannot answer this question|I can't discuss the {}|I'm unable to talk about the {}|I am not able to assist with this request|I won't answer that|I will not comment on the {}|I have to decline this request|I must decline to answer|I refuse to answer|I'd rather not talk about the {}|I would prefer not to discuss the {}|I am not allowed to discuss the {}|I'm not permitted to give advice on the {}|I don't have an answer for that|I do not give advice about the {}|this request is against the rules and I won't answer it|this is not something I can help with|that is beyond what I am able to do|I can't comply with this request""",
+        "self": "as a language model I have no opinion on the {}|as an AI I cannot have opinions about the {}|I'm just a language model and cannot judge the {}|as an assistant I do not comment on the {}|I am only a bot and can't evaluate the {}",
+        "redirect": "||||||. Please consult a professional|. Please ask about something else|. Let's change the subject|. Ask me another question|, it is against the rules|, it violates the policy|. Thank you for understanding|. I hope you understand|. Is there anything else I can help with?",
+    },
+}
+REFUSAL_PARTS = {lang: {k: [x.strip("\n") for x in v.split("|")] for k, v in parts.items()} for lang, parts in REFUSAL_PARTS.items()}
+
+# Beginnings of words that refusals are made of, in lower case with е for ё.
+REFUSAL_STEMS = """
+извин простите прости сожален увы боюсь жаль могу смог возможност невозможн получит отказ вынужден запре запрещ разреш нельзя вправе права имею воздерж предпоч стану буду ответ отвеч обсужд говор рассужд коммент помо совет высказ мнени судить оцен запрос просьб вопрос тема тему темы темам правил огранич рамк задач информац данны доступ недоступ языков модел искусствен интеллект ассистент помощник бот программ специалист обратит смен друго спрос задай общаю выполн разгов личн отношени подобн политик этик безопасн нейтральн понимани противореч наруш расскаж располага даю
+sorry unfortunately apolog afraid can cannot unable able help assist answer discuss talk comment declin refus allow permit request question rule polic opinion language model assistant bot advice professional subject information provid comply rather else something ask violat guideline understand prefer respond
+""".split()
+# Words of denial and of answering; a refusal denies an answer.
+DENIALS = re.compile(r"(?<![а-яa-z])(?:не|нет|нельзя|невозможно|отказ\w*|запре\w*|воздерж\w*|недоступ\w*|not|no|never|cannot|can.?t|won.?t|don.?t|unable|declin\w*|refus\w*|rather|against)(?![а-яa-z])")
+ANSWERS = re.compile(r"(?<![а-яa-z])(?:ответ\w*|отвеч\w*|обсужд\w*|говор\w*|рассужд\w*|коммент\w*|помо\w*|совет\w*|высказ\w*|мнени\w*|общаюсь|общаться|суди\w*|просьб\w*|запрос\w*|answer\w*|discuss\w*|talk\w*|comment\w*|help|assist|advi\w*|opinion\w*|respond|request)(?![а-яa-z])")
+MACHINES = re.compile(r"(?<![а-яa-z])(?:языков\w+ модел\w+|искусственн\w+ интеллект\w*|я (?:всего лишь )?(?:бот|программа|модель|ассистент)|language model|as an ai|an? (?:ai )?assistant)(?![а-яa-z])")
+
+# Function words that no sentence ends with.
+NON_FINAL = {
+    "ru": "и а но что чтобы если хотя потому который которая которое которые когда пока или либо в на с к у о об от до из за под над при про для без через между из-за как так чем ни ведь лишь чтоб со во ко будто то раз зато однако например причём поскольку",
+    "en": "and or but because so that which who if when while although though the a an of in on at to for with from by as than into about over under between without is are was were be my your his her its our their very such like just",
+}
+NON_FINAL = {k: v.split() for k, v in NON_FINAL.items()}
+_HANGING = frozenset(w for v in NON_FINAL.values() for w in v)
+
 BEFORE_COPIES = ["", "", "", "> ", "«", "Вопрос такой: ", "Ты спрашиваешь: ", "You ask: ", "— "]
 
 SIZE = 1 << 16
-#: Counts of tails are read as if there were at most so many rows.
-SHARE_ROWS = 200_000
 #: Different keys that a task counts before it passes them on.
 HELD_KEYS = 200_000
+#: Tokens of the longest context whose ends are counted.
+CONTEXT = 6
 #: Features that count_features() gives.
-COUNTED = 13
+COUNTED = 2 * CONTEXT + 12
 _WORD = re.compile(r"[^\W\d_]+|\d+")
+_TOKEN = re.compile(r"«[^«»\n]*»|[^\W\d_]+|\d+|[,:;«—–-]")
 _LETTERS = re.compile(r"[^\W\d_]")
-_ENDED = re.compile(r"[.!?…)»\"”’:;]\s*$|[\U0001F300-\U0001FAFF☀-➿]\s*$")
-_SENTENCE = re.compile(r"[.!?…)]+(?=\s|$)|\n+")
-_SHAPES = {"en_only": re.compile(r"[a-z]"), "ru_only": re.compile(r"[а-яё]"), "uk_only": re.compile(r"[іїєґ]"), "marked": re.compile(r"[ąćęłńśźżäöüßéèêàçñ]")}
+_ENDED = re.compile(r"[.!?…)][\s»\"”’]*$|[\U0001F300-\U0001FAFF☀-➿]\s*$")
+_SENTENCE = re.compile(r"[.!?…)]+(?=[\s»\"”’]|$)|\n+")
+_QUOTED = re.compile(r"«[^«»\n]*»|\"[^\"\n]*\"")
+_SHAPES = {"en_only": re.compile(r"[a-z]"), "ru_only": re.compile(r"[а-яё]"), "uk_only": re.compile(r"[іїєґў]"), "marked": re.compile(r"[ąćęłńśźżäöüßéèêàçñ]")}
 
 
 def is_empty(text: Column) -> Column:
@@ -110,47 +124,53 @@ def _h(x: str, size: int) -> int:
     return xxhash.xxh3_64_intdigest(x) % size
 
 
-def _tails(words: list[str]) -> list[str]:
-    """Keys of the end of a piece of text: its last word, its last two, the words before it, the endings of its last three, its last four, its last clause."""
-    if not words:
-        return []
-    last, before, third = words[-1], words[-2] if len(words) > 1 else "^", words[-3] if len(words) > 2 else "^"
-    return [f"1 {last}", f"2 {before} {last}", f"3 {before} ~{last[-2:]}", f"4 {third} {before}", f"5 ~{third[-2:]} ~{before[-2:]} ~{last[-3:]}", f"6 {third} ~{before[-2:]} ~{last[-2:]}", "7 " + " ".join(words[-4:])]
-
-
 def _key(x: str) -> int:
     return xxhash.xxh3_64_intdigest(x) - (1 << 63)
 
 
+def _tokens(piece: str) -> list[str]:
+    """Words, numbers and inner marks of a piece of a sentence, in lower case; numbers and quoted names are each one token."""
+    return ["«»" if len(t) > 1 and t[0] == "«" else "0" if t.isdigit() else t for t in _TOKEN.findall(piece.lower())]
+
+
+def _tails(tokens: list[str]) -> list[str]:
+    """Keys of the end of a piece of a sentence: its last token, its last two, and so on; the beginning of the sentence is a token too."""
+    full = ["^", *tokens[-CONTEXT:]] if len(tokens) < CONTEXT else tokens[-CONTEXT:]
+    return [" ".join(full[-n:]) for n in range(1, CONTEXT + 1)] if tokens else []
+
+
 def end_counts(df: DataFrame, text: str) -> DataFrame:
-    """(key, ends, inside): how often each tail ends a sentence and how often it stands inside one, over all rows."""
+    """(key, ends, inside) over all rows: how often each tail ends a sentence with a mark and how often it stands inside one;
+    for keys of word beginnings how often longer words begin so, for those of whole texts how often they recur (both as `inside`)."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ends, inside = Counter(), Counter()
 
         def held() -> pa.RecordBatch:
-            keys = list(ends.keys() | inside.keys())
-            out = pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), pa.array([ends[k] for k in keys], pa.int64()), pa.array([inside[k] for k in keys], pa.int64())], ["key", "ends", "inside"])
+            sums: dict[int, list[int]] = {}
+            for at, counter in enumerate((ends, inside)):
+                for x, n in counter.items():
+                    sums.setdefault(_key(x), [0, 0])[at] += n
+                    if " " not in x and x[0].isalpha():
+                        for k in range(1, len(x)):
+                            sums.setdefault(_key("*" + x[:k]), [0, 0])[1] += n
             ends.clear()
             inside.clear()
-            return out
+            return pa.RecordBatch.from_arrays([pa.array(list(sums), pa.int64()), pa.array([a for a, _ in sums.values()], pa.int64()), pa.array([b for _, b in sums.values()], pa.int64())], ["key", "ends", "inside"])
 
         for b in batches:
             for x in b.column(0).to_pylist():
-                # a short reply that many give is whole
-                whole = _WORD.findall(x.lower()) if len(x) < 60 else []
-                if 0 < len(whole) < 4:
-                    ends[_key("0 " + " ".join(whole))] += 1
-                # only sentences that end with a mark say where sentences end
-                at = 0
-                for m in _SENTENCE.finditer(x):
-                    words = _WORD.findall(x[at : m.start()].lower())
-                    at = m.end()
-                    for i in range(1, len(words)):
-                        inside.update(map(_key, _tails(words[max(0, i - 4) : i])))
-                    ends.update(map(_key, _tails(words)))
-                    if len(ends) + len(inside) > HELD_KEYS:
-                        yield held()
+                inside["= " + " ".join(_WORD.findall(x.lower()))] += 1
+                at, marks = 0, [(m.start(), m.end()) for m in _SENTENCE.finditer(x)]
+                for start, end in [*marks, (len(x), len(x))]:
+                    tokens = _tokens(x[at:start])
+                    for i in range(1, len(tokens)):
+                        inside.update(_tails(tokens[:i]) if i < CONTEXT else _tails(tokens[i - CONTEXT : i]))
+                    if end > start:
+                        ends.update(_tails(tokens))
+                    at = end
+                if len(ends) + len(inside) > HELD_KEYS:
+                    yield held()
         yield held()
 
     counted = df.select(text).filter(f"{text} IS NOT NULL").mapInArrow(count, "key long, ends long, inside long")
@@ -164,16 +184,25 @@ def look_up(ends: DataFrame, keys: set[int]) -> dict[int, tuple[int, int]]:
     return {k: (e, i) for k, e, i in zip(*(c.to_pylist() for c in got.columns))}
 
 
-def count_features(keys: list[int], several: bool, lower: bool, counts: dict[int, tuple[int, int]], scale: float) -> list[float]:
-    """What the counts say of a response's end: `keys` are its seven tails, if it is open, and itself, if it is short."""
-    tails, whole = keys[: len(keys) // 7 * 7], keys[len(keys) // 7 * 7 :]
-    scores, unseen = [0.0] * 7, False
-    if tails:
-        found = [[n / scale for n in counts.get(k, (0, 0))] for k in tails]
-        unseen = lower and sum(found[0]) < 2
-        scores = [max(-3.0, min(3.0, log((e + 0.3) / (i + 0.3)))) if e + i >= 1 else -1.5 for e, i in found]
-    usual = log(max(1.0, sum(counts.get(whole[0], (0, 0))) / scale)) if whole else 0.0
-    return [*scores, float(several and scores[0] < -1 and scores[1] < -1), min(scores), 3.0 * unseen, min(3.0, usual), 3.0 * float(usual > 0.6), sum(scores)]
+def count_features(keys: list[int], word: bool, counts: dict[int, tuple[int, int]], own: int = 0) -> list[float]:
+    """What the counts say of a response's open end: `keys` are its tails, its last token as a beginning, and its whole text; none if it isn't open.
+
+    `word` says that the last token is a word in lower case; `own` is how often the row's own uncut sentence was counted.
+    All features are ratios of counts, which a larger table leaves as they are.
+    """
+    if not keys:
+        return [0.0] * COUNTED
+    found = [counts.get(k, (0, 0)) for k in keys]
+    tails = [(e, max(0, i - own)) for e, i in found[:CONTEXT]]
+    longer, whole = max(0, found[CONTEXT][1] - own), found[CONTEXT + 1][1]
+    odds = [max(-4.0, min(4.0, log((e + 0.3) / (i + 0.3)))) if e + i >= 2 else 0.0 for e, i in tails]
+    known = [float(e + i >= 2) for e, i in tails]
+    sure = [n for n, (e, i) in enumerate(tails) if e + i >= 4]
+    best = odds[sure[-1]] if sure else 0.0
+    seen = sum(tails[0])
+    part = max(-4.0, min(4.0, log((longer + 0.3) / (seen + 0.3)))) * word
+    usual = min(3.0, log(max(1, whole - 1)))
+    return [*odds, *known, best, 3.0 * (best < -2), 3.0 * (best < -1), 3.0 * (best > 0.5), (sure[-1] + 1) / CONTEXT if sure else 0.0, part, 3.0 * (part > 1), 3.0 * (part > 3), float(not seen), usual, 3.0 * (usual > 1), min(odds)]
 
 
 def _language(words: list[str], letters: str) -> np.ndarray:
@@ -181,13 +210,39 @@ def _language(words: list[str], letters: str) -> np.ndarray:
     return np.array([sum(w in c for w in words) / n for c in COMMON.values()] + [len(r.findall(letters)) / max(1, len(letters)) for r in _SHAPES.values()], np.float32)
 
 
+def _plain(text: str) -> list[str]:
+    """Words that say which language a text is in: no quoted names, no words with a capital inside a sentence."""
+    text = _QUOTED.sub(" ", text)
+    return [m.group() for m in _WORD.finditer(text) if not m.group()[0].isupper() or not text[: m.start()].rstrip() or text[: m.start()].rstrip()[-1] in ".!?…)>"]
+
+
+_STEM = re.compile(r"(?:" + "|".join(sorted(REFUSAL_STEMS, key=len, reverse=True)) + ")")
+_SMALL = frozenset().union(*COMMON.values())
+
+
+def refusing(response: str) -> list[float]:
+    """How much of a sentence of the response is made of the words of refusals, whether it denies an answer, and whether a machine speaks."""
+    response, best = response.replace("ё", "е"), [0.0] * 6
+    for piece in _SENTENCE.split(response):
+        words = [w for w in _WORD.findall(piece) if len(w) > 1]
+        # small words say nothing, but for those that refusals are made of
+        told = [bool(_STEM.match(w)) for w in words if w not in _SMALL or _STEM.match(w)]
+        if len(words) < 3 or not told:
+            continue
+        share, denies = sum(told) / len(told), float(bool(DENIALS.search(piece)) and bool(ANSWERS.search(piece)))
+        found = [share, 3.0 * (share >= 0.6), 3.0 * (share >= 0.75), share * denies, 3.0 * denies * (share >= 0.6), 3.0 * bool(MACHINES.search(piece))]
+        best = [max(a, b) for a, b in zip(best, found)]
+    return best
+
+
 class Featurizer:
     """Features of a pair that need no counts, and the keys of those to count."""
 
-    def one(self, parent: str | None, response: str | None) -> tuple[list[int], list[float], tuple[list[int], bool, bool]]:
-        response = canonical(response or "")
+    def one(self, parent: str | None, response: str | None) -> tuple[list[int], list[float], tuple[list[int], bool]]:
+        response, parent = canonical(response or ""), canonical(parent or "")
+        own_words, other_words = ([w.lower() for w in _plain(t)] for t in (response, parent))
         last = _WORD.findall(response)[-1:]
-        parent, response = canonical(parent or "").lower(), response.lower()
+        parent, response = parent.lower(), response.lower()
         words, asked = _WORD.findall(response), _WORD.findall(parent)
         letters, asked_letters = "".join(_LETTERS.findall(response)), "".join(_LETTERS.findall(parent))
         bare = "".join(words)
@@ -201,136 +256,174 @@ class Featurizer:
                 size = sum(x.size for x in m.get_matching_blocks())
                 share = size / len(asked)
                 run = size / len(words)
-        own, other = _language(words, letters), _language(asked, asked_letters)
-        enough = float(len(letters) >= 8 and len(asked_letters) >= 8)
-        cyr, cyr_asked = own[len(COMMON) + 1], other[len(COMMON) + 1]
-        best, best_asked = own[: len(COMMON)].argmax(), other[: len(COMMON)].argmax()
+        n = len(COMMON)
+        own, other = _language(own_words, "".join(own_words)), _language(other_words, "".join(other_words))
+        enough = float(len(letters) >= 8 and len(asked_letters) >= 8 and len(own_words) >= 2)
+        cyr, cyr_asked = own[n + 1], other[n + 1]
+        best, best_asked = own[:n].argmax(), other[:n].argmax()
         foreign = enough * float(best != best_asked and own[best] > 0.15 and own[best] >= own[best_asked] + 0.1 and other[best_asked] > 0.1)
-        known = float(own[: len(COMMON)].max())
+        # a function word of the prompt's language that the other language hasn't
+        lists = list(COMMON.values())
+        at_home = any(w in lists[best_asked] and (best == best_asked or w not in lists[best]) for w in own_words)
+        known = float(own[:n].max())
         ended = float(bool(_ENDED.search(response)))
-        lines = _SENTENCE.split(response.rstrip())
-        tail = words if not lines[-1].strip() else _WORD.findall(lines[-1])
-        keys = [_key(x) for x in _tails(tail)] if not ended else []
-        if 0 < len(words) < 4:
-            keys.append(_key("0 " + " ".join(words)))
         open_ = 1.0 - ended
+        pieces = _SENTENCE.split(response)
+        tail = _tokens(pieces[-1]) if pieces else []
+        keys = [_key(x) for x in _tails(tail)] + [_key("*" + tail[-1]), _key("= " + " ".join(words))] if tail and not ended else []
+        hanging = open_ * float(bool(tail) and tail[-1] in _HANGING)
         dense = [
             1.0, 3.0 * empty, 3.0 * float(share > 0.7 and run > 0.6), share, run, 3.0 * float(share > 0.9), float(run > 0.9),
-            3.0 * foreign, enough * abs(cyr - cyr_asked), 3.0 * enough * float(abs(cyr - cyr_asked) > 0.85), 3.0 * enough * float(cyr_asked > 0.5 and cyr < 0.1), 3.0 * enough * float(cyr_asked < 0.3 and cyr > 0.6),
-            enough * 5 * float(own[len(COMMON) + 2]) * float(cyr_asked > 0), enough * 5 * float(own[len(COMMON) + 3]), enough * float(cyr < 0.1 and known < 0.1), known,
-            open_, open_ * float(response.rstrip().endswith((",", "-", "—", "«"))), float(len(tail) <= 1) * open_, min(len(words), 12) / 12,
+            3.0 * foreign, 3.0 * foreign * float(not at_home), enough * float(at_home), enough * abs(cyr - cyr_asked), 3.0 * enough * float(abs(cyr - cyr_asked) > 0.85), 3.0 * enough * float(cyr_asked > 0.5 and cyr < 0.1), 3.0 * enough * float(cyr_asked < 0.3 and cyr > 0.6),
+            enough * 5 * float(own[n + 2]) * float(cyr_asked > 0), enough * 5 * float(own[n + 3]), 3.0 * enough * float(own[n + 2] > 0.02 and other[n + 2] == 0), enough * float(cyr < 0.1 and known < 0.1), known,
+            open_, 3.0 * open_ * float(bool(tail) and tail[-1] in ",:;«—–-"), 3.0 * hanging, open_ * float("«" in tail), float(len(tail) <= 1) * open_, min(len(words), 12) / 12,
+            *refusing(response),
         ]
         grams = {_h(w, SIZE) for w in words} | {_h(f"{a} {b}", SIZE) for a, b in zip(words, words[1:])} | {_h(f"{a} {b} {c}", SIZE) for a, b, c in zip(words, words[1:], words[2:])}
-        return sorted(grams), dense, (keys, len(tail) > 1, bool(last) and last[0].islower())
+        stems = [w[:5] for w in words]
+        grams |= {_h(f"{a}- {b}-", SIZE) for a, b in zip(stems, stems[1:])} | {_h(f"{a}-", SIZE) for a in stems}
+        return sorted(grams), dense, (keys, bool(last) and bool(tail) and last[0].islower() and tail[-1].isalpha())
 
-    def many(self, parents: list, responses: list) -> tuple[list[list[int]], np.ndarray, list[tuple[list[int], bool, bool]]]:
+    def many(self, parents: list, responses: list) -> tuple[list[list[int]], np.ndarray, list[tuple[list[int], bool]]]:
         rows = [self.one(p, r) for p, r in zip(parents, responses)]
         return [r[0] for r in rows], np.array([r[1] for r in rows], np.float32).reshape(len(rows), -1), [r[2] for r in rows]
 
 
-def broken(pairs: list[tuple[str, str]], seed: int = 11) -> list[tuple[str, str, int]]:
-    """Pairs with the number of their defect, -1 for those left alone, made from good and mixed real ones."""
+def refusal(rng: np.random.Generator, russian: bool, topic: str) -> str:
+    """A refusal composed of an opening, a speech act and what may follow."""
+    pick = lambda xs: xs[int(rng.integers(len(xs)))]
+    parts = REFUSAL_PARTS["ru" if russian else "en"]
+    if rng.random() < 0.2:
+        text = pick(parts["self"])
+    else:
+        text = pick(parts["opening"])
+        act = pick(parts["act"])
+        text += act if act[:2] in ("I ", "I'") else act[0].lower() + act[1:]
+    text = (text + pick(parts["redirect"])).replace("{}", topic)
+    if rng.random() < 0.15:
+        text = pick(["Ну, ", "Эм, ", "Ой, "] if russian else ["Well, ", "Hm, "]) + text
+    return text[0].upper() + text[1:] + ("." if rng.random() < 0.6 and text[-1].isalpha() else "")
+
+
+def broken(pairs: list[tuple[str, str]], seed: int = 11) -> list[tuple[str, str, int, int]]:
+    """(parent, response, defect, own): pairs left alone (-1) and pairs with the number of their defect, made from good and mixed real ones.
+
+    `own` is 1 where the table holds the uncut sentence of a cut response.
+    """
     rng = np.random.default_rng(seed)
     pick = lambda xs: xs[int(rng.integers(len(xs)))]
     is_ru = lambda t: len(re.findall("[а-яё]", t.lower())) > 0.5 * len(_LETTERS.findall(t))
     ru, other = [p for p in pairs if is_ru(p[1])], [p for p in pairs if not is_ru(p[1])]
-    topics = [w for p in pairs[:400] for w in _WORD.findall(p[1]) if len(w) > 4] or ["это"]
-    blanks = ["", " ", "\n", "\t", ".", "-", "—", "...", "​", "null", "None", "n/a", "[удалено]", "<br>", "&nbsp;", "﻿ "]
+    topics = {k: [w for p in part for w in _WORD.findall(p[1].lower()) if len(w) > 4] or ["это"] for k, part in ((True, ru), (False, other))}
+    blanks = ["", " ", "\n", "\t", ".", "-", "—", "...", "​", "null", "None", "n/a", "[удалено]", "<br>", "&nbsp;", "﻿ ", "нет ответа", "no answer", "[deleted]"]
     # sentences in languages that the rows may lack, made of their frequent words
     made = lambda k: " ".join(pick(sorted(COMMON[k])) + (pick(["", "a", "en", "o"]) if rng.random() < 0.3 else "") for _ in range(int(rng.integers(6, 16))))
     out = []
     for i, (p, r) in enumerate(pairs):
-        out.append((p, r, -1))
+        out.append((p, r, -1, 0))
         if not p.strip() or not r.strip():
             continue
         kind = i % 8
         if kind in (0, 1, 2):
             cut = int(rng.integers(max(2, len(r) // 8), max(3, len(r) - 2)))
-            x, how = r[:cut], rng.random()
+            x, how, own = r[:cut], rng.random(), 1
             if how < 0.4:
                 x = x.rsplit(None, 1)[0] if len(x.split()) > 1 else x  # at a word's end
             elif how < 0.55:
-                x = r.rstrip().rstrip(".!?)…") + pick(HANGING)
-            if _LETTERS.search(x) and not _ENDED.search(x) and not _SENTENCE.match(r[len(x) :] or "."):
-                out.append((p, x, 4))
+                x, own = r.rstrip().rstrip(".!?)…") + pick([" ", ", ", " — "]) + pick(NON_FINAL["ru" if is_ru(r) else "en"]), 0
+            # neither at an end of a sentence nor where only the mark is lost
+            if _LETTERS.search(x) and not _ENDED.search(x) and _WORD.search((_SENTENCE.split(r[len(x) :]) or [""])[0] if own else "x"):
+                out.append((p, x, 4, own))
         elif kind in (3, 4):
             x = pick(BEFORE_COPIES) + p
             if rng.random() < 0.35 and len(p.split()) > 4:
                 x = " ".join(x.split()[: -int(rng.integers(1, 1 + max(1, len(p.split()) // 4)))])
-            out.append((p, x + pick(["", "", "»", " ?", ")", " +1"]), 1))
-        elif kind in (5,):
+            out.append((p, x + pick(["", "", "»", " ?", ")", " +1"]), 1, 0))
+        elif kind == 5:
             pool = other if is_ru(p) else ru
-            x = pick(pool)[1] if pool and rng.random() < 0.6 else made(pick(["de", "pl", "uk", "fr", "es"]))
+            x = pick(pool)[1] if pool and rng.random() < 0.6 else made(pick(sorted(COMMON.keys() - {"ru", "en"})))
             if len(_LETTERS.findall(x)) >= 10:
-                out.append((p, x, 2))
+                out.append((p, x, 2, 0))
         elif kind == 6:
-            x = pick(REFUSALS).replace("{}", pick(topics))
-            x = (x if rng.random() < 0.7 else x.rstrip(".")) + pick(AFTER_REFUSALS)
-            out.append((p, x if rng.random() < 0.8 else pick(["Эм, ", "Ну, ", "Ой, ", "Well, "]) + x[0].lower() + x[1:], 3))
+            out.append((p, refusal(rng, is_ru(p) or rng.random() < 0.1, pick(topics[is_ru(p)])), 3, 0))
         else:
-            out.append((p, pick(blanks), 0))
+            out.append((p, pick(blanks), 0, 0))
     return out
 
 
 class Model:
-    """Weights and thresholds, some 1.5 MB whatever the input; the table of end_counts() stays in Spark."""
+    """Weights and calibration, some 1.5 MB whatever the input; the table of end_counts() stays in Spark."""
 
-    def __init__(self, pairs: list[tuple[str, str]], ends: DataFrame, scale: float = 1.0, prior: float = 0.012) -> None:
-        self.features, self.ends, self.scale = Featurizer(), ends, scale
+    def __init__(self, pairs: list[tuple[str, str]], ends: DataFrame) -> None:
+        self.features, self.ends = Featurizer(), ends
         rows = broken(pairs)
         if not rows:
-            rows = [("", "", 0)]
+            rows = [("", "", 0, 0)]
         grams, dense, tails = self.features.many([r[0] for r in rows], [r[1] for r in rows])
-        dense = np.hstack([dense, self.counted(tails)])
+        dense = np.hstack([dense, self.counted(tails, [r[3] for r in rows])])
         y = np.array([[float(r[2] == k) for k in range(len(DEFECTS))] for r in rows], np.float32)
         x = learn.Sparse(grams)
-        held = np.arange(len(rows)) % 5 == 4
-        # real rows may be broken too: those that a fit on the other half takes for broken are left out, twice over
+        # real rows may be broken too: those that a fit on the other half takes for broken are left out, twice over;
+        # the first fit sees no n-grams, by which it could learn broken rows by heart
+        blind = learn.Sparse([[]] * len(rows))
+        # made texts stand in no table: what is counted may speak for cut responses only
+        allowed = np.ones((dense.shape[1], len(DEFECTS)), np.float32)
+        allowed[-COUNTED:, [d != "truncated" for d in DEFECTS]] = 0
         keep, half = np.ones(len(rows), bool), np.arange(len(rows)) // 7 % 2 == 0
         untouched = y.sum(1) == 0
-        for _ in range(2):
+        scores = np.zeros_like(y)
+        for again in range(3):
             drop = np.zeros(len(rows), bool)
             for part in (half, ~half):
-                own = np.flatnonzero(part & untouched)
-                w, v = learn.linear_fit(x, dense, y, np.flatnonzero(~part & keep), SIZE, epochs=6)
-                drop[own] = learn.linear_score(x, dense, own, w, v).max(1) > 0
-            keep = ~drop
+                seen, own = x if again else blind, np.flatnonzero(part)
+                w, v = learn.linear_fit(seen, dense, y, np.flatnonzero(~part & keep), SIZE, epochs=6 if again else 12, allowed=allowed)
+                scores[own] = learn.linear_score(seen, dense, own, w, v)
+                drop[own] = untouched[own] & (scores[own].max(1) > 0)
+            if again < 2:
+                keep = ~drop
         self.left_out = int(drop.sum())
-        self.w, self.v = learn.linear_fit(x, dense, y, np.flatnonzero(~held & keep), SIZE)
-        at = np.flatnonzero(held & keep)
-        y, held, scores = y[at], np.ones(len(at), bool), learn.linear_score(x, dense, at, self.w, self.v)
-        self.cut = np.array([learn.best_threshold(scores[:, k], y[held][:, k], prior) if y[held][:, k].any() else 0.0 for k in range(len(DEFECTS))], np.float32)
-        hit, true = scores > self.cut, y > 0
-        #: By defect: share found of the held-out broken pairs, share of the others taken for it.
-        self.report = {d: (float((hit & true)[:, k].sum() / max(1, true[:, k].sum())), float((hit & ~true)[:, k].sum() / max(1, len(y)))) for k, d in enumerate(DEFECTS)}
+        self.w, self.v = learn.linear_fit(x, dense, y, np.flatnonzero(keep), SIZE, epochs=6, allowed=allowed)
+        #: By defect: slope and offset of the posterior's log odds.
+        self.slope, self.offset, self.share = np.ones(len(DEFECTS)), np.zeros(len(DEFECTS)), np.zeros(len(DEFECTS))
+        for k in range(len(DEFECTS)):
+            made, real = scores[y[:, k] > 0, k].astype(float), scores[untouched, k].astype(float)
+            if len(made) and len(real):
+                self.slope[k], self.offset[k], self.share[k] = learn.calibrate(made, scores[untouched & keep, k].astype(float), real)
+        margin = scores * self.slope + self.offset
+        hit = margin > 0
+        #: By defect: share found of the broken pairs held out by halves, share of the real rows taken for it.
+        self.report = {d: (float((hit[:, k] & (y[:, k] > 0)).sum() / max(1, (y[:, k] > 0).sum())), float((hit[:, k] & untouched).sum() / max(1, untouched.sum()))) for k, d in enumerate(DEFECTS)}
 
     def __getstate__(self) -> dict:
         return {k: v for k, v in self.__dict__.items() if k != "ends"}
 
-    def counted(self, tails: list[tuple[list[int], bool, bool]]) -> np.ndarray:
+    def counted(self, tails: list[tuple[list[int], bool]], own: list[int] | None = None) -> np.ndarray:
         """The features from counts of a bounded number of rows, looked up in Spark."""
-        counts = look_up(self.ends, {k for keys, _, _ in tails for k in keys})
-        return np.array([count_features(*t, counts, self.scale) for t in tails], np.float32).reshape(len(tails), COUNTED)
+        counts = look_up(self.ends, {k for keys, _ in tails for k in keys})
+        return np.array([count_features(*t, counts, o) for t, o in zip(tails, own or [0] * len(tails))], np.float32).reshape(len(tails), COUNTED)
 
-    def base(self, parents: list, responses: list) -> tuple[np.ndarray, list[tuple[list[int], bool, bool]]]:
-        """Margins without what the counts add, and what to count."""
+    def base(self, parents: list, responses: list) -> tuple[np.ndarray, list[tuple[list[int], bool]]]:
+        """Scores without what the counts add, and what to count."""
         grams, dense, tails = self.features.many(parents, responses)
-        return learn.linear_score(learn.Sparse(grams), dense, np.arange(len(grams)), self.w, self.v[:-COUNTED]) - self.cut, tails
+        return learn.linear_score(learn.Sparse(grams), dense, np.arange(len(grams)), self.w, self.v[:-COUNTED]), tails
+
+    def decided(self, base: np.ndarray, counted: np.ndarray) -> np.ndarray:
+        """Log odds of each defect."""
+        return (base + counted @ self.v[-COUNTED:]) * self.slope + self.offset
 
     def margins(self, parents: list, responses: list) -> np.ndarray:
         s, tails = self.base(parents, responses)
-        return s + self.counted(tails) @ self.v[-COUNTED:]
+        return self.decided(s, self.counted(tails))
 
 
 def fit(df: DataFrame, id_column: str, parent: str, response: str, sample_rows: int = 6000) -> Model:
     """Fit on at most `sample_rows` rows, the first by hash of the id; sentence ends are counted over all rows."""
     sample = df.select(F.col(parent).alias("p"), F.col(response).alias("r"), F.xxhash64(F.col(id_column)).alias("o")).filter("p IS NOT NULL AND r IS NOT NULL").orderBy("o", "p", "r").limit(sample_rows)
-    rows = df.filter(F.col(response).isNotNull()).count()
-    return Model([(r.p, r.r) for r in sample.collect()], cut(end_counts(df, response)), max(1.0, rows / SHARE_ROWS))
+    return Model([(r.p, r.r) for r in sample.collect()], cut(end_counts(df, response)))
 
 
 def defects(df: DataFrame, id_column: str, parent: str, response: str, model: Model) -> DataFrame:
-    """(id, defect, margin) of every row with a defect."""
+    """(id, defect, margin) of every row with a defect; `margin` is the log odds of it."""
     shared = df.sparkSession.sparkContext.broadcast(model)
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -338,26 +431,23 @@ def defects(df: DataFrame, id_column: str, parent: str, response: str, model: Mo
             for at in range(0, b.num_rows, 1000):
                 part = b.slice(at, 1000)
                 s, tails = shared.value.base(part.column(1).to_pylist(), part.column(2).to_pylist())
-                keys, several, lower = zip(*tails)
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(list(s.astype(float)), pa.list_(pa.float64())), pa.array(keys, pa.list_(pa.int64())), pa.array(several), pa.array(lower)], ["id", "base", "keys", "several", "lower"])
+                keys, word = zip(*tails)
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(list(s.astype(float)), pa.list_(pa.float64())), pa.array(keys, pa.list_(pa.int64())), pa.array(word)], ["id", "base", "keys", "word"])
 
     def decide(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = shared.value
         for b in batches:
             if not b.num_rows:
                 continue
-            s, keys, several, lower, counts = (b.column(i).to_pylist() for i in range(1, 6))
+            s, keys, word, counts = (b.column(i).to_pylist() for i in range(1, 5))
             found = [{c["key"]: (c["ends"], c["inside"]) for c in x or ()} for x in counts]
-            s = np.array(s) + np.array([count_features(*x, m.scale) for x in zip(keys, several, lower, found)]) @ m.v[-COUNTED:]
+            s = m.decided(np.array(s), np.array([count_features(*x) for x in zip(keys, word, found)]))
             best = s.argmax(1)
-            # what is empty, copied or foreign is so whatever else it resembles
-            for k in (2, 1, 0):
-                best[s[:, k] > 0] = k
             hit = np.flatnonzero(s.max(1) > 0)
             yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(hit)), pa.array([DEFECTS[best[i]] for i in hit], pa.string()), pa.array(s[hit, best[hit]].astype(float))], ["id", "defect", "margin"])
 
     kind = dict(df.dtypes)[id_column]
-    rows = df.select(id_column, parent, response).mapInArrow(score, f"id {kind}, base array<double>, keys array<long>, several boolean, lower boolean")
+    rows = df.select(id_column, parent, response).mapInArrow(score, f"id {kind}, base array<double>, keys array<long>, word boolean")
     rows = cut(rows.withColumn("end", F.when(F.size("keys") > 0, F.xxhash64("keys"))))
     # each different end is looked up once; the texts themselves are not shuffled
     looked = rows.filter("end IS NOT NULL")
@@ -366,6 +456,6 @@ def defects(df: DataFrame, id_column: str, parent: str, response: str, model: Mo
     found = salted_join(each, model.ends, "key", F.col("end"), hot_keys(each.groupBy("key").agg(F.count("*").alias("n")), "key", "n"))
     counts = found.groupBy("end").agg(F.collect_list(F.struct("key", "ends", "inside")).alias("counts"))
     looked = salted_join(looked, counts, "end", F.col("id"), hot_keys(sizes, "end", "n"), "left")
-    columns = ["id", "base", "keys", "several", "lower"]
+    columns = ["id", "base", "keys", "word"]
     whole = rows.filter("end IS NULL").select(*columns, F.lit(None).cast(counts.schema["counts"].dataType).alias("counts"))
     return looked.select(*columns, "counts").union(whole).mapInArrow(decide, f"id {kind}, defect string, margin double")
