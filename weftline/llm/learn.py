@@ -85,42 +85,50 @@ def calibrate(positive: np.ndarray, negative: np.ndarray, mixed: np.ndarray, rou
 
 
 class Boosted:
-    """Gradient-boosted regression trees for a 0/1 label, on few dense features."""
+    """Gradient-boosted regression trees for a 0/1 label, on few dense features, by histograms."""
 
-    def __init__(self, trees: int = 120, depth: int = 3, rate: float = 0.15, least: int = 3, l2: float = 1.0) -> None:
-        self.trees, self.depth, self.rate, self.least, self.l2 = trees, depth, rate, least, l2
+    def __init__(self, trees: int = 120, depth: int = 3, rate: float = 0.15, least: float = 3, l2: float = 1.0, bins: int = 32) -> None:
+        self.trees, self.depth, self.rate, self.least, self.l2, self.bins = trees, depth, rate, least, l2, bins
 
-    def fit(self, x: np.ndarray, y: np.ndarray) -> Boosted:
-        share = np.clip(y.mean(), 1e-3, 1 - 1e-3)
+    def fit(self, x: np.ndarray, y: np.ndarray, weight: np.ndarray | None = None) -> Boosted:
+        weight = np.ones(len(y)) if weight is None else weight
+        share = np.clip((weight * y).sum() / weight.sum(), 1e-3, 1 - 1e-3)
         self.base = float(np.log(share / (1 - share)))
-        cuts = [np.unique(c)[:-1] + np.diff(np.unique(c)) / 2 for c in x.T]
-        cuts = [c if len(c) <= 32 else np.quantile(c, np.linspace(0, 1, 32)) for c in cuts]
-        self.pairs = [(f, t) for f, c in enumerate(cuts) for t in c]
-        masks = np.array([x[:, f] <= t for f, t in self.pairs]) if self.pairs else np.zeros((0, len(x)), bool)
+        self.cuts = []
+        for c in x.T:
+            values = np.unique(c)
+            cuts = values[:-1] + np.diff(values) / 2
+            self.cuts.append(cuts if len(cuts) < self.bins else np.unique(np.quantile(cuts, np.linspace(0, 1, self.bins - 1))))
+        codes = np.stack([np.searchsorted(c, v, "left") for c, v in zip(self.cuts, x.T)], 1).astype(np.int64)
+        # one number for each feature and bin, so that one count gives all histograms
+        self._flat = codes + np.arange(codes.shape[1]) * self.bins
         self.model: list[tuple] = []
         score = np.full(len(x), self.base)
         for _ in range(self.trees):
             p = 1 / (1 + np.exp(-score))
-            g, h = p - y, p * (1 - p)
-            tree = self._grow(masks, g, h, np.ones(len(x), bool), self.depth)
-            self.model.append(tree)
-            score += self._eval(tree, x)
+            g, h = weight * (p - y), weight * p * (1 - p)
+            self.model.append(self._grow(g, h, weight, np.arange(len(x)), self.depth, score))
+        del self._flat
         return self
 
-    def _grow(self, masks: np.ndarray, g: np.ndarray, h: np.ndarray, here: np.ndarray, depth: int) -> tuple:
+    def _grow(self, g: np.ndarray, h: np.ndarray, weight: np.ndarray, here: np.ndarray, depth: int, score: np.ndarray) -> tuple:
         G, H = g[here].sum(), h[here].sum()
-        leaf = (-self.rate * G / (H + self.l2),)
-        if depth == 0 or here.sum() < 2 * self.least or not len(masks):
-            return leaf
-        m = masks[:, here]
-        n = m.sum(1)
-        gl, hl = m @ g[here], m @ h[here]
-        gain = gl**2 / (hl + self.l2) + (G - gl) ** 2 / (H - hl + self.l2) - G**2 / (H + self.l2)
-        gain[(n < self.least) | (here.sum() - n < self.least)] = -1
-        k = int(gain.argmax())
-        if gain[k] < 1e-6:
-            return leaf
-        return (*self.pairs[k], self._grow(masks, g, h, here & masks[k], depth - 1), self._grow(masks, g, h, here & ~masks[k], depth - 1))
+        k = -1
+        if depth and weight[here].sum() >= 2 * self.least:
+            n = self._flat.shape[1]
+            flat = self._flat[here].ravel()
+            gl, hl, wl = (np.bincount(flat, np.repeat(v[here], n), n * self.bins).reshape(n, self.bins).cumsum(1) for v in (g, h, weight))
+            gain = gl**2 / (hl + self.l2) + (G - gl) ** 2 / (H - hl + self.l2) - G**2 / (H + self.l2)
+            gain[(wl < self.least) | (wl[:, -1:] - wl < self.least)] = -1
+            k = int(gain.argmax())
+            k = k if gain.flat[k] >= 1e-6 else -1
+        if k < 0:
+            value = -self.rate * G / (H + self.l2)
+            score[here] += value
+            return (value,)
+        f, b = divmod(k, self.bins)
+        low = self._flat[here, f] <= k
+        return (f, float(self.cuts[f][b]), self._grow(g, h, weight, here[low], depth - 1, score), self._grow(g, h, weight, here[~low], depth - 1, score))
 
     def _eval(self, tree: tuple, x: np.ndarray) -> np.ndarray:
         if len(tree) == 1:

@@ -63,8 +63,8 @@ def p5_split_sizes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.groupBy("split").agg(F.count("*").alias("n_rows"), F.count_distinct("group_id").alias("n_groups"))
 
 
-def _scorer(spark: SparkSession, sf_dir: str) -> abuse.Scorer:
-    return abuse.fit(table(spark, sf_dir, "tox_labels", "text", "label"), "text", "label")
+def _scorer(spark: SparkSession, sf_dir: str, name: str = "clean_pairs", text: str = "response", hint: str = "response_toxicity") -> abuse.Scorer:
+    return abuse.fit(table(spark, sf_dir, "tox_labels", "text", "label"), "text", "label", table(spark, sf_dir, name, text, hint), text, hint)
 
 
 def p6_found(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -82,7 +82,7 @@ def p6_rates(spark: SparkSession, sf_dir: str) -> DataFrame:
 def p6_raw_rates(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Rates of raw_pairs.child_comment by shard, beside the stored hint."""
     df = table(spark, sf_dir, "raw_pairs", "shard", "child_comment", "child_comment_tox")
-    scored = abuse.scores(df.select(F.struct("shard", "child_comment_tox").alias("k"), "child_comment"), "k", "child_comment", _scorer(spark, sf_dir))
+    scored = abuse.scores(df.select(F.struct("shard", "child_comment_tox").alias("k"), "child_comment"), "k", "child_comment", _scorer(spark, sf_dir, "raw_pairs", "child_comment", "child_comment_tox"))
     return scored.groupBy(F.col("id.shard").alias("shard")).agg(F.count("*").alias("n_rows"), F.count_if(F.col("score") >= 0.5).alias("n_flagged"), F.count_if(F.col("id.child_comment_tox") >= 0.8).alias("n_hinted"))
 
 
