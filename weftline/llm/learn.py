@@ -58,22 +58,24 @@ def linear_score(rows: Sparse, dense: np.ndarray, at: np.ndarray, w: np.ndarray,
     return _sums(w[f], row, len(at)) / np.sqrt(np.maximum(1, rows.sizes[at]))[:, None].astype(np.float32) + dense[at] @ v
 
 
-def calibrate(positive: np.ndarray, negative: np.ndarray, mixed: np.ndarray, rounds: int = 200) -> tuple[float, float, float]:
+def calibrate(positive: np.ndarray, negative: np.ndarray, mixed: np.ndarray, rounds: int = 200, ridge: float = 1e-4) -> tuple[float, float, float]:
     """Slope and offset of log odds from scores, and the share of positives among the `mixed` scores.
 
     A logistic curve is fitted to the scores of known positives and negatives; the share of positives
     in the mixed population is then estimated by expectation-maximization, and the curve moved to it.
+    `ridge` draws the slope to 1, so that scores that part the two don't make it endless.
     """
     s, y = np.concatenate([positive, negative]), np.concatenate([np.ones(len(positive)), np.zeros(len(negative))])
     # both classes weigh alike, and one pseudo-row of each keeps the curve finite
     weight = np.where(y > 0, 0.5 / max(1, len(positive)), 0.5 / max(1, len(negative)))
     target = np.where(y > 0, (len(positive) + 1) / (len(positive) + 2), 1 / (len(negative) + 2))
     a, b = 1.0, 0.0
-    for _ in range(50):
+    for _ in range(300):
         p = 1 / (1 + np.exp(-np.clip(a * s + b, -30, 30)))
         g, h = weight * (p - target), np.maximum(weight * p * (1 - p), 1e-12)
-        m = np.array([[(h * s * s).sum() + 1e-6, (h * s).sum()], [(h * s).sum(), h.sum() + 1e-6]])
-        step = np.linalg.solve(m, [(g * s).sum() + 1e-6 * (a - 1), g.sum()])
+        m = np.array([[(h * s * s).sum() + ridge, (h * s).sum()], [(h * s).sum(), h.sum() + 1e-6]])
+        # short steps, as a long one may leave the curve flat
+        step = np.clip(np.linalg.solve(m, [(g * s).sum() + ridge * (a - 1), g.sum()]), [-0.1, -1.0], [0.1, 1.0])
         a, b = a - step[0], b - step[1]
         if abs(step).max() < 1e-9:
             break
