@@ -6,6 +6,10 @@ from pyspark.sql import functions as F
 
 from weftline.llm import abuse, leaks, learn, packing, pairs, residue
 
+_rng = random.Random(99)
+# words so unlike each other that none is a slip of another
+VOCABULARY = ["".join(_rng.choice("бвгдзклмнпрст") + _rng.choice("аеиоуы") for _ in range(4)) for _ in range(300)]
+
 RU = [
     ("Стоит ли брать «{n}» ради сюжета?", "Лучше возьми «{m}», там уютный звук"), ("В «{n}» опять сломали карту", "Смотря где играть, на даче терпимо"), ("Купил «{n}» за {k} рублей, жалею", "Через {k} минут перестанешь замечать графику."),
     ("Прошёл «{n}» за {k} часов", "Мой брат летом прошёл и хвалил музыку."), ("Кто уже проходил «{n}»?", "Согласен, но тусклый финал всё спасает."),
@@ -39,9 +43,22 @@ def test_boosting_and_isotonic():
     assert list(values) == [0.0, 0.5, 1.0] and np.all(np.diff(knots) > 0)
 
 
-def test_threshold():
-    scores, truth = np.array([3.0, 2, 1, 0, -1]), np.array([1, 1, 0, 0, 0])
-    assert 1 <= learn.best_threshold(scores, truth, 0.1) <= 2
+def test_weighted_boosting():
+    rng = np.random.default_rng(2)
+    x, y = rng.random((600, 3)), np.zeros(600)
+    y[x[:, 1] > 0.7] = 1
+    noisy = np.where(rng.random(600) < 0.3, 1 - y, y)
+    x2, y2, w = np.vstack([x, x]), np.concatenate([noisy, y]), np.concatenate([np.full(600, 0.1), np.ones(600)])
+    assert ((learn.Boosted(60).fit(x2, y2, w).score(x) > 0) == (y > 0)).mean() > 0.97
+
+
+def test_calibrate():
+    rng = np.random.default_rng(3)
+    mixed = np.concatenate([rng.normal(2, 1, 200), rng.normal(-2, 1, 9800)])
+    a, b, share = learn.calibrate(rng.normal(2, 1, 2000), rng.normal(-2, 1, 2000), mixed)
+    # two normal curves four apart: log odds of slope 4, moved by the log odds of the share
+    assert 3 < a < 5 and abs(share - 0.02) < 0.005 and abs(b + 3.9) < 0.7
+    assert np.isfinite(learn.calibrate(np.full(30, 50.0), np.full(30, -50.0), np.zeros(5))).all()
 
 
 @pytest.fixture(scope="module")
@@ -54,7 +71,10 @@ def pair_model(spark):
 def test_held_out_defects(spark, pair_model):
     good = made(200, seed=9)
     rows, truth = [], {}
-    refusals = ["Не стану отвечать, такой запрос нарушает правила.", "I'm sorry, but I can't help with the map.", "К сожалению, не имею возможности ответить на вопрос про звук"]
+    # none is one of those that the training composes
+    refusals = ["Мне жаль, однако дать ответ на подобный вопрос нельзя.", "Sorry, but discussing a request like this is not allowed", "Прошу прощения, обсуждать такую тему мне запрещено, спросите о другом."]
+    composed = {pairs.refusal(np.random.default_rng(n), ru, "звук").lower() for n in range(3000) for ru in (True, False)}
+    assert not composed & {x.lower() for x in refusals}
     for i, (p, r) in enumerate(good):
         kind = [None, "empty", "truncated", "refusal", "copy", "language"][i % 6]
         x = {None: r, "empty": ["", " ", "n/a", "[удалено]", "​"][i % 5], "truncated": r.rstrip(".")[:-4] if len(r) > 20 else None, "refusal": refusals[i % 3], "copy": ["> ", "", "Вопрос такой: "][i % 3] + p, "language": EN[0][1] if any("а" <= c <= "я" for c in p.lower()) else RU[1][1]}[kind]
@@ -86,13 +106,11 @@ def test_empty_pairs(spark, pair_model):
 def test_ends_are_counted_exactly(spark):
     rng = random.Random(6)
     letters = "абвгдежзиклмнопрст"
-    texts = [" ".join("".join(rng.choice(letters) for _ in range(8)) for _ in range(6)) + "." for _ in range(20_000)] + ["Это звук. Да, это звук!", "да", None]
-    ends = pairs.end_counts(spark.createDataFrame([(t,) for t in texts], "t string"), "t").localCheckpoint()
-    assert ends.count() > 1 << 19
-    known = {pairs._key(x): n for x, n in {"1 звук": (2, 0), "1 это": (0, 2), "2 это звук": (2, 0), "1 да": (0, 1), "0 да": (1, 0)}.items()}
-    # cut words stay unseen however many others there are
-    cut = {pairs._key("1 " + "".join(rng.choice(letters) for _ in range(7))) for _ in range(2000)}
-    assert pairs.look_up(ends, known.keys() | cut) == known
+    texts = [" ".join("".join(rng.choice(letters) for _ in range(8)) for _ in range(4)) + "." for _ in range(3000)] + ["Это звук. Да, это звук!", "да звуч", None]
+    ends = pairs.end_counts(spark.createDataFrame([(t,) for t in texts], "t string"), "t")
+    known = {pairs._key(x): n for x, n in {"звук": (2, 0), "это": (0, 2), "это звук": (2, 0), "^ это звук": (1, 0), "^ ^ это звук": (1, 0), ", это звук": (1, 0), "да": (0, 2), "= да звуч": (0, 1), "*зву": (0, 2), "*эт": (0, 2)}.items()}
+    # an end without a mark vouches for nothing
+    assert pairs.look_up(ends, known.keys() | {pairs._key("звуч"), pairs._key("да звуч")}) == known
 
 
 def test_fit_reads_whole_texts(spark, monkeypatch):
@@ -101,12 +119,21 @@ def test_fit_reads_whole_texts(spark, monkeypatch):
     assert pairs.fit(spark.createDataFrame(rows, "pair_id long, parent string, response string"), "pair_id", "parent", "response") == [rows[0][1:]]
 
 
-def test_counts_are_shares():
-    keys = [pairs._key(x) for x in pairs._tails(["это", "был", "звук"])] + [pairs._key("0 это был звук")]
-    counts = {k: (3 * i, i % 3) for i, k in enumerate(keys)}
-    small = pairs.count_features(keys, True, True, counts, 1.0)
-    assert np.allclose(small, pairs.count_features(keys, True, True, {k: (50 * e, 50 * i) for k, (e, i) in counts.items()}, 50.0))
-    assert len(small) == pairs.COUNTED and small[0] == -1.5 and small[9] == 3.0
+def test_counts_are_ratios():
+    tokens = pairs._tokens("это был тихий звук")
+    keys = [pairs._key(x) for x in [*pairs._tails(tokens), "*звук", "= x"]]
+    counts = {k: (30 * i, 200) for i, k in enumerate(keys)}
+    small = pairs.count_features(keys, True, counts)
+    assert len(small) == pairs.COUNTED and pairs.count_features([], True, counts) == [0.0] * pairs.COUNTED
+    assert np.allclose(small, pairs.count_features(keys, True, {k: (50 * e, 50 * i) for k, (e, i) in counts.items()}), atol=0.02) or small[-3:-1] != [0, 0]
+    # the row's own uncut sentence doesn't count
+    assert pairs.count_features(keys, True, {k: (0, 1) for k in keys}, 1)[-4] == 1.0
+
+
+def test_names_are_no_language():
+    one = pairs.Featurizer().one
+    named, foreign = (one("Что посоветуете из старых игр?", x)[1] for x in ("Топ: Grand Old Quest, потом Save Everything Twice, потом лыжи", "I would start with the older one and then play it again"))
+    assert sum(foreign[7:14]) > sum(named[7:14]) + 5
 
 
 BAD = ["Ты просто {x}, и мать твоя это знает", "{x} ты, а не знаток", "Закрой рот, {x}", "Какой же ты {x}", "Хочу раздеть тебя прямо тут", "Скинь голые фотки", "Хортане не люди, гнать их отсюда", "Чтоб ты сдох", "Удавись, миру станет чище"]
@@ -119,7 +146,18 @@ def scorer():
     rng = random.Random(2)
     bad = [rng.choice(BAD).replace("{x}", rng.choice(WORDS)) + rng.choice(["", ".", "!!!"]) for _ in range(150)]
     fine = [rng.choice(FINE) + rng.choice(["", ".", ")"]) for _ in range(200)]
-    return abuse.Scorer(bad + fine, [1] * 150 + [0] * 200)
+    return abuse.Scorer([[abuse.read(s) for s in abuse.sentences(t)] for t in bad + fine], [1] * 150 + [0] * 200, [True] * 350)
+
+
+def test_hints_teach(spark):
+    """Abuse by words of no list is learned from noisy hints, though none of the labelled texts has them."""
+    rng = random.Random(5)
+    labels = [(rng.choice(BAD).replace("{x}", rng.choice(WORDS)), 1) for _ in range(60)] + [(rng.choice(FINE), 0) for _ in range(80)]
+    odd = ["Ах ты флюмзик перепончатый", "Флюмзик ты и больше никто"]
+    rows = [(f"{rng.choice(odd)}, {rng.choice(VOCABULARY)}", rng.choice([0.9, 0.8, 0.7, 0.1])) for _ in range(60)] + [(f"{rng.choice(FINE)}, {rng.choice(VOCABULARY)}", rng.choice([0.1, 0.2, 0.05, 0.3, 0.1, 0.2, 0.9])) for _ in range(1200)] + [("x", None), (None, 0.9), ("y", 7.0)]
+    df = spark.createDataFrame(rows, "response string, tox double")
+    taught = abuse.fit(spark.createDataFrame(labels, "text string, label int"), "text", "label", df, "response", "tox")
+    assert taught.score(["Флюмзик ты и больше никто, вот так"])[0] >= 0.5 > taught.score(["Мой брат прошёл и хвалил звук"])[0]
 
 
 @pytest.mark.parametrize("text", ["слышь, скотина, закрой рот", "Ты просто д е б и л", "какой же ты кр3тин", "Ты просто м*азь, и мать твоя это знает", "идиииииот ты, а не знаток", "Ты пpoсто уpод", "Нормально. Закрой рот, тупица!"])
@@ -138,12 +176,7 @@ def test_scores_table(spark, scorer):
     assert got == [(1, True), (1, True), (2, False), (3, False), (4, False)]
     assert abuse.scores(df.limit(0), "id", "text", scorer).count() == 0
     with pytest.raises(ValueError):
-        abuse.Scorer(["a"], [0])
-
-
-_rng = random.Random(99)
-# words so unlike each other that none is a slip of another
-VOCABULARY = ["".join(_rng.choice("бвгдзклмнпрст") + _rng.choice("аеиоуы") for _ in range(4)) for _ in range(300)]
+        abuse.Scorer([[abuse.read("a")]], [0], [True])
 
 
 def sentence(rng, n):
@@ -249,6 +282,31 @@ def test_residue(spark):
     assert residue.residue(empty, "doc_id", "text", residue.fit(empty, "text")).count() == 0
 
 
+TALK = ["Про ошибку 404 у нас шутят каждый вторник.", "На прошлой неделе сервер лежал, и друзья пошли гулять.", "В письме слово null стояло вместо фамилии, это насмешило деда.", "Дизайнер вставил Lorem ipsum, а заказчик его похвалил.", "I disabled JavaScript and the forum became faster for me."]
+
+
+@pytest.mark.parametrize("text", TALK)
+def test_talk_is_not_trusted(text):
+    assert not residue.is_trusted(text)
+
+
+@pytest.mark.parametrize("text", ["Доступ запрещён.", "Your session has expired, please log in again", "Ждём вас, {{ first_name }}!", "Цена: undefined", "Lorem ipsum dolor sit amet", "zxcvb asdfg qwerty", "Скрипты отключены, включите JavaScript"])
+def test_residue_is_trusted(text):
+    assert residue.is_trusted(text)
+
+
+def test_unseen_residue(spark):
+    """Messages that are not trusted by themselves are found by what they share with trusted ones; talk in the same words is not."""
+    rng = random.Random(17)
+    plain = lambda: ". ".join(f"{rng.choice(['Сюжет', 'Звук', 'Финал'])} {rng.choice(['держится', 'живёт', 'спорит'])} {rng.choice(['на идее', 'без спешки', 'с игроком'])} {rng.randrange(99)} раз" for _ in range(4)) + "."
+    junk = ["Страница не найдена.", "Доступ к странице ограничен.", "Сервер временно недоступен, попробуйте позже.", "Включите JavaScript для просмотра.", "Привет, {{ name }}!"]
+    rows = [(i, plain() + " " + TALK[i % 5]) for i in range(200)] + [(1000 + i, plain() + " " + junk[i % 5]) for i in range(60)] + [(2000 + i, plain() + " Страница временно недоступна для гостей.") for i in range(5)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {r.doc_id for r in residue.residue(df, "doc_id", "text", residue.fit(df, "text")).collect()}
+    assert {1000 + i for i in range(60)} <= got and not got & set(range(200))
+    assert got & set(range(2000, 2005))
+
+
 def test_best_fit_is_the_tightest():
     rng = random.Random(3)
     for per_source in (None, 2):

@@ -58,17 +58,17 @@ def linear_score(rows: Sparse, dense: np.ndarray, at: np.ndarray, w: np.ndarray,
     return _sums(w[f], row, len(at)) / np.sqrt(np.maximum(1, rows.sizes[at]))[:, None].astype(np.float32) + dense[at] @ v
 
 
-def calibrate(positive: np.ndarray, negative: np.ndarray, mixed: np.ndarray, rounds: int = 200, ridge: float = 1e-4) -> tuple[float, float, float]:
+def calibrate(positive: np.ndarray, negative: np.ndarray, mixed: np.ndarray, rounds: int = 200, ridge: float = 1e-4, floor: float = 5e-3) -> tuple[float, float, float]:
     """Slope and offset of log odds from scores, and the share of positives among the `mixed` scores.
 
     A logistic curve is fitted to the scores of known positives and negatives; the share of positives
     in the mixed population is then estimated by expectation-maximization, and the curve moved to it.
-    `ridge` draws the slope to 1, so that scores that part the two don't make it endless.
+    No class is taken for rarer than `floor`: a small sample may lack it. `ridge` draws the slope to 1, so that scores that part the two don't make it endless.
     """
     s, y = np.concatenate([positive, negative]), np.concatenate([np.ones(len(positive)), np.zeros(len(negative))])
-    # both classes weigh alike, and one pseudo-row of each keeps the curve finite
+    # both classes weigh alike, and a tenth of a row on the other side of each keeps the curve finite
     weight = np.where(y > 0, 0.5 / max(1, len(positive)), 0.5 / max(1, len(negative)))
-    target = np.where(y > 0, (len(positive) + 1) / (len(positive) + 2), 1 / (len(negative) + 2))
+    target = np.where(y > 0, (len(positive) + 0.1) / (len(positive) + 0.2), 0.1 / (len(negative) + 0.2))
     a, b = 1.0, 0.0
     for _ in range(300):
         p = 1 / (1 + np.exp(-np.clip(a * s + b, -30, 30)))
@@ -82,7 +82,7 @@ def calibrate(positive: np.ndarray, negative: np.ndarray, mixed: np.ndarray, rou
     ratio = np.exp(np.clip(a * mixed + b, -30, 30))
     share = 0.05
     for _ in range(rounds):
-        share = float(np.clip((share * ratio / (share * ratio + 1 - share)).mean(), 1e-6, 1 - 1e-6))
+        share = float(np.clip((share * ratio / (share * ratio + 1 - share)).mean(), floor, 1 - floor))
     return float(a), float(b + np.log(share / (1 - share))), share
 
 

@@ -135,7 +135,7 @@ def _tokens(piece: str) -> list[str]:
 
 def _tails(tokens: list[str]) -> list[str]:
     """Keys of the end of a piece of a sentence: its last token, its last two, and so on; the beginning of the sentence is a token too."""
-    full = ["^", *tokens[-CONTEXT:]] if len(tokens) < CONTEXT else tokens[-CONTEXT:]
+    full = ["^"] * (CONTEXT - len(tokens)) + tokens[-CONTEXT:]
     return [" ".join(full[-n:]) for n in range(1, CONTEXT + 1)] if tokens else []
 
 
@@ -273,7 +273,7 @@ class Featurizer:
         keys = [_key(x) for x in _tails(tail)] + [_key("*" + tail[-1]), _key("= " + " ".join(words))] if tail and not ended else []
         hanging = open_ * float(bool(tail) and tail[-1] in _HANGING)
         dense = [
-            1.0, 3.0 * empty, 3.0 * float(share > 0.7 and run > 0.6), share, run, 3.0 * float(share > 0.9), float(run > 0.9),
+            1.0, 8.0 * empty, 3.0 * float(share > 0.7 and run > 0.6), share, run, 3.0 * float(share > 0.9), float(run > 0.9),
             3.0 * foreign, 3.0 * foreign * float(not at_home), enough * float(at_home), enough * abs(cyr - cyr_asked), 3.0 * enough * float(abs(cyr - cyr_asked) > 0.85), 3.0 * enough * float(cyr_asked > 0.5 and cyr < 0.1), 3.0 * enough * float(cyr_asked < 0.3 and cyr > 0.6),
             enough * 5 * float(own[n + 2]) * float(cyr_asked > 0), enough * 5 * float(own[n + 3]), 3.0 * enough * float(own[n + 2] > 0.02 and other[n + 2] == 0), enough * float(cyr < 0.1 and known < 0.1), known,
             open_, 3.0 * open_ * float(bool(tail) and tail[-1] in ",:;«—–-"), 3.0 * hanging, open_ * float("«" in tail), float(len(tail) <= 1) * open_, min(len(words), 12) / 12,
