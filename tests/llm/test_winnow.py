@@ -64,3 +64,48 @@ def test_hot_text(spark, monkeypatch):
     train = spark.createDataFrame([(i, "Тебе часто снится подписка?" if i % 2 else f"Ничего общего тут нет, номер {i}") for i in range(40)], "t long, e string")
     evals = spark.createDataFrame([("x", "тебе часто снится подписка"), ("y", "Тебе часто снится подписка")], "t string, e string")
     assert W.overlaps(train, "t", "e", evals, "t", "e").count() == 40
+
+
+def test_chain_and_extension():
+    assert W.chain([(0, 5), (3, 1), (4, 6), (9, 2), (9, 12), (4, 6)]) in ([(0, 5), (4, 6), (9, 12)],)
+    assert W.chain([]) == []
+    rng = random.Random(9)
+    for _ in range(200):
+        e = "".join(rng.choice("абвгдежз") for _ in range(rng.randrange(20, 60)))
+        t = list(e)
+        for _ in range(rng.randrange(4)):
+            at = rng.randrange(len(t))
+            t[at : at + rng.choice([0, 1])] = rng.choice(["", "я", "юю"])
+        t = "".join(t)
+        owner, h, place = W.winnowed([e, t], 5, 4)
+        at = {x: [int(p) for o, y, p in zip(owner, h, place) if o == 1 and y == x] for x in set(h[owner == 1])}
+        links = W.chain([(int(p), q) for o, x, p in zip(owner, h, place) if o == 0 for q in at.get(x, [])])
+        n, seeded = W.extended(e, t, links, 5)
+        assert seeded <= n <= lcs(e, t) and n >= lcs(e, t) - 3
+
+
+def test_altered_prompts_are_found(spark):
+    """Recall of seeds and chains on prompts with up to a sixth of their letters changed, against the whole alignment."""
+    rng = random.Random(10)
+    letters = "абвгдежзиклмнопрстуя"
+    evals = [(f"e{i}", " ".join("".join(rng.choice(letters) for _ in range(rng.randrange(3, 9))) for _ in range(rng.randrange(5, 14)))) for i in range(40)]
+    rows, truth = [], set()
+    for i in range(400):
+        e, text = evals[i % 40]
+        t = list(text)
+        for _ in range(rng.randrange(1, max(2, len(t) // 6))):
+            t[rng.randrange(len(t))] = rng.choice(letters)
+        rows.append((i, "".join(t)))
+        if 2 * lcs(W.fold(text), W.fold(rows[-1][1])) / (len(W.fold(text)) + len(W.fold(rows[-1][1]))) >= 0.8:
+            truth.add((e, i))
+    got = {(r.eval_id, r.train_id) for r in W.overlaps(spark.createDataFrame(rows, "t long, p string"), "t", "p", spark.createDataFrame(evals, "e string, p string"), "e", "p").collect()}
+    assert len(got & truth) / len(truth) >= 0.98
+
+
+def test_longer_texts(spark):
+    train = spark.createDataFrame([(1, "Совсем другой вопрос о погоде, о море и о соседях. Сколько раз надо проиграть, чтобы поумнеть?")], "t long, p string")
+    evals = spark.createDataFrame([("e", "Сколько раз надо проиграть, чтобы поумнеть?")], "e string, p string")
+    assert W.overlaps(train, "t", "p", evals, "e", "p").count() == 0
+    got = W.overlaps(train, "t", "p", evals, "e", "p", longer=None).collect()
+    assert len(got) == 1 and got[0].coverage == 1.0
+    assert [(r.train_id, r.n_evals) for r in W.records(W.overlaps(train, "t", "p", evals, "e", "p", longer=None)).collect()] == [(1, 1)]

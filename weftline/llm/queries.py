@@ -30,13 +30,21 @@ def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _eval_overlaps(spark, sf_dir).select("eval_id", F.col("train_id").alias("sft_id"))
 
 
+def p1_records(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Coverage of each training record that overlaps an evaluation record."""
+    return winnow.records(_eval_overlaps(spark, sf_dir)).select(F.col("train_id").alias("sft_id"), "n_evals", F.round("coverage", 4).alias("coverage"))
+
+
 def p1_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Overlaps by evaluation split and training source; sources are compared without case and outer blanks."""
-    pairs = _eval_overlaps(spark, sf_dir)
     sources = table(spark, sf_dir, "sft_pairs", F.col("sft_id").alias("train_id"), F.lower(F.trim("source")).alias("source"))
     splits = table(spark, sf_dir, "eval_stage3_exclude", F.col("id").alias("eval_id"), "split")
-    joined = pairs.join(sources, "train_id").join(splits, "eval_id")
-    return joined.groupBy("split", "source").agg(F.count("*").alias("n_pairs"), F.count_distinct("train_id").alias("n_rows"), F.count_distinct("eval_id").alias("n_evals"), F.round(F.avg("coverage"), 4).alias("avg_coverage"))
+    joined = _eval_overlaps(spark, sf_dir).join(sources, "train_id").join(splits, "eval_id")
+    # the records of a split first, each with the most that it covers
+    each = joined.groupBy("split", "source", "train_id").agg(F.count("*").alias("n"), F.max("coverage").alias("coverage"))
+    sums = each.groupBy("split", "source").agg(F.sum("n").alias("n_pairs"), F.count("*").alias("n_rows"), F.round(F.avg("coverage"), 4).alias("avg_coverage"))
+    evals = joined.groupBy("split", "source").agg(F.count_distinct("eval_id").alias("n_evals"))
+    return sums.join(evals, (sums["split"] == evals["split"]) & sums["source"].eqNullSafe(evals["source"])).select(sums["split"], sums["source"], "n_pairs", "n_rows", "n_evals", "avg_coverage")
 
 
 def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -116,7 +124,7 @@ def p9_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {"p1_found": p1_found, "p1_report": p1_report, "p2_found": p2_found, "p3_found": p3_found, "p4_found": p4_found, "p5_found": p5_found, "p5_split_sizes": p5_split_sizes, "p6_found": p6_found, "p6_rates": p6_rates, "p6_raw_rates": p6_raw_rates, "p7_containers_256": p7_containers_256, "p7_containers_2048": p7_containers_2048, "p7_report": p7_report, "p8_found": p8_found, "p9_found": p9_found}
+    return {"p1_found": p1_found, "p1_records": p1_records, "p1_report": p1_report, "p2_found": p2_found, "p3_found": p3_found, "p4_found": p4_found, "p5_found": p5_found, "p5_split_sizes": p5_split_sizes, "p6_found": p6_found, "p6_rates": p6_rates, "p6_raw_rates": p6_raw_rates, "p7_containers_256": p7_containers_256, "p7_containers_2048": p7_containers_2048, "p7_report": p7_report, "p8_found": p8_found, "p9_found": p9_found}
 
 
 _KEY = r"regexp_replace(lower({}), '[^\p{{L}}\p{{N}}\p{{M}}]+', '', 'g')"
