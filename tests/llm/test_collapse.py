@@ -7,6 +7,10 @@ from weftline.llm import collapse
 from weftline.llm.pairs import is_empty
 
 
+def copies(df, *fields):
+    return collapse.copies(df.withColumn("record", collapse.fields_of(*fields)), "id", "record")
+
+
 def brute(rows):
     key = lambda t: re.sub(r"[\W_]+", "", (t or "").lower())
     groups = {}
@@ -18,13 +22,13 @@ def brute(rows):
 def test_against_brute_force(spark):
     rows = [(i, a + b, c) for i, (a, b, c) in enumerate(itertools.product(["Да, нет", "да нет", "ДА НЕТ!"], ["", " ", "?"], ["Ответ 1", "ответ  1", "ответ 2", None, ""]))]
     df = spark.createDataFrame(rows, "id long, parent string, response string").withColumn("h1", F.lit("clash")).withColumn("n", F.lit(1))
-    assert sorted((r.keep_id, r.copy_id) for r in collapse.copies(df, "id", ["parent", "response"]).collect()) == brute(rows)
+    assert sorted((r.keep_id, r.copy_id) for r in copies(df, "parent", "response").collect()) == brute(rows)
 
 
 def test_numbers_of_copies_and_fields(spark):
     df = spark.createDataFrame([(1, "а", "б"), (2, "А", "Б."), (3, "б", "а"), (4, "аб", ""), (5, "", "аб")], "id long, p string, r string")
-    assert [tuple(r) for r in collapse.copies(df, "id", ["p", "r"]).collect()] == [(1, 2, 2)]
-    assert collapse.copies(df.limit(0), "id", ["p", "r"]).count() == 0
+    assert [tuple(r) for r in copies(df, "p", "r").collect()] == [(1, 2, 2)]
+    assert copies(df.limit(0), "p", "r").count() == 0
 
 
 def test_hot_group(spark, monkeypatch):
@@ -32,17 +36,24 @@ def test_hot_group(spark, monkeypatch):
 
     monkeypatch.setattr(runtime, "HOT_ROWS", 5)
     df = spark.createDataFrame([(i, "Одно и то же", "да" if i % 3 else f"нет {i}") for i in range(60)], "id long, p string, r string")
-    got = collapse.copies(df, "id", ["p", "r"]).collect()
+    got = copies(df, "p", "r").collect()
     assert len(got) == 39 and {r.keep_id for r in got} == {1} and {r.n for r in got} == {40}
 
 
-def test_fingerprint_ignores_order(spark):
-    df = spark.createDataFrame([("a", "b")], "x string, y string")
-    one = collapse.fingerprint({"x": F.col("x"), "y": F.col("y")})
-    two = collapse.fingerprint({"y": F.col("y"), "X ": F.col("x")})
-    other = collapse.fingerprint({"x": F.col("y"), "y": F.col("x")})
-    a, b, c = df.select(one, two, other).first()
-    assert a == b != c
+def test_order_of_fields_is_nothing(spark):
+    rows = [(1, [("x", "a"), ("y", "b")]), (2, [("Y ", "B."), ("x", "A")]), (3, [("x", "b"), ("y", "a")]), (4, [("x", "a"), ("x", "a"), ("y", "b")]), (5, []), (6, None), (7, [("y", "b"), ("x", "a"), ("x", "a")])]
+    df = spark.createDataFrame(rows, "id long, record array<struct<name: string, value: string>>")
+    assert sorted((r.keep_id, r.copy_id) for r in collapse.copies(df, "id", "record").collect()) == [(1, 2), (4, 7)]
+
+
+def test_nothing_is_sorted(spark):
+    df = spark.createDataFrame([(i, f"{i % 7}", "да") for i in range(50)], "id long, p string, r string")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        plan = copies(df, "p", "r")._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    assert "ShuffledHashJoin" in plan and "SortMergeJoin" not in plan and "Sort " not in plan
 
 
 def test_lines(spark):
@@ -51,7 +62,9 @@ def test_lines(spark):
         (8, "null"), (9, "[1]"), (10, '{"parent": 5, "response": "б"}'), (11, "{}"), (12, '  {"parent": "а", "response": null}'),
     ]
     got = collapse.read_lines(spark.createDataFrame(lines, "pair_id long, line string"), "pair_id", "line", ["parent", "response"])
-    assert sorted(map(tuple, got.collect())) == [(1, "а", "б"), (2, "а", "б"), (10, "5", "б")]
+    rows = sorted(got.collect())
+    assert [tuple(r[:3]) for r in rows] == [(1, "а", "б"), (2, "а", "б"), (10, "5", "б")]
+    assert [[f.name for f in r.record] for r in rows] == [["parent", "response"], ["response", "parent"], ["parent", "response"]]
 
 
 def test_empty_replies(spark):

@@ -15,9 +15,10 @@ LINKS = ["comment_id_parent", "comment_id_child"]
 
 
 def pair_records(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """clean_pairs and the readable lines of pair_lines: (pair_id, parent, response)."""
-    clean = table(spark, sf_dir, "clean_pairs", "pair_id", "parent", "response")
-    return clean.union(collapse.read_lines(table(spark, sf_dir, "pair_lines", "pair_id", "line"), "pair_id", "line", ["parent", "response"]))
+    """clean_pairs and the readable lines of pair_lines: (pair_id, response, record)."""
+    clean = table(spark, sf_dir, "clean_pairs", "pair_id", "parent", "response").select("pair_id", "response", collapse.fields_of("parent", "response").alias("record"))
+    lines = collapse.read_lines(table(spark, sf_dir, "pair_lines", "pair_id", "line"), "pair_id", "line", ["parent", "response"])
+    return clean.union(lines.select("pair_id", "response", "record"))
 
 
 def _eval_overlaps(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -49,7 +50,7 @@ def p1_report(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     records = pair_records(spark, sf_dir).filter(~is_empty(F.col("response")))
-    return collapse.copies(records, "pair_id", ["parent", "response"]).select("keep_id", "copy_id")
+    return collapse.copies(records, "pair_id", "record").select("keep_id", "copy_id")
 
 
 def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
