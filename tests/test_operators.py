@@ -231,3 +231,94 @@ def test_strict_prompts_are_not_near_evaluation(spark, tmp_path):
     spark.createDataFrame([("какая игра лучше всех в мире",), (None,)], "prompt string").write.parquet(f"{tmp_path}/eval_stage3_exclude.parquet")
     got = {n: sorted(r.pair_id for r in QUERIES[n](spark, str(tmp_path)).collect()) for n in ("strict_prompts", "strict_prompts_full")}
     assert got == {"strict_prompts": [1, 2, 3, 4], "strict_prompts_full": [4]}
+
+
+# Cleaning with entities and compatibility forms, against a plain program over whole tables
+
+
+def _cleaned(text):
+    import html
+    import re
+    import unicodedata
+
+    if text is None:
+        return None
+    x = unicodedata.normalize("NFKC", html.unescape(text)).replace("\r\n", "\n").replace("\r", "\n")
+    x = re.sub(r"[ \t\v\f]+", " ", x)
+    x = re.sub(r" *\n *", "\n", x)
+    x = re.sub(r"\n{3,}", "\n\n", x).strip()
+    from weftline.functions.text import DELETED_MARKERS
+
+    return x if x and not any(m in x.casefold() for m in DELETED_MARKERS) else None
+
+
+def test_filters_with_whole_cleaning(spark):
+    import collections
+    import re
+
+    from weftline.functions import udfs
+    from weftline.operators import filters
+
+    texts = ["Привет&nbsp;всем", "привет всем", "Ｐривет всем", "[deleted]", "&lt;b&gt;", "ﬁn", "fin", "Да. Нет. Ага. Ну.", "", None, "x" * 700, "а\r\n\r\n\r\nб", "Как искусственный интеллект, я молчу"]
+    rows = [(n, p, r) for n, (p, r) in enumerate((p, r) for p in texts for r in texts)]
+    df = spark.createDataFrame(rows, "id long, p string, r string").withColumn("_first", F.lit("clash"))
+    sentences = lambda x: len(re.findall(r"[.!?]+(?:\s|$)", x))
+    for resample in (False, True):
+        seen, want = set(), collections.Counter()
+        for _, p, r in rows:
+            p, r = _cleaned(p), _cleaned(r)
+            reason = "empty" if p is None or r is None else "too_long" if len(p) > 800 or len(r) > 600 else "leak" if p.casefold() == "fin" else "echo" if p.casefold() == r.casefold() else "sentences" if sentences(r) > 3 else None
+            if reason is None:
+                key = p.casefold(), r.casefold()
+                reason = ("resampled_duplicate" if resample else "duplicate") if key in seen else "kept"
+                seen.add(key)
+            want[reason] += 1
+        out = filters.sft_reasons(df.drop("_first"), "p", "r", "id", spark.createDataFrame([("ﬁn",)], "q string"), "q", clean=udfs.clean_text, resample=resample)
+        assert {r.reason: r.n_rows for r in filters.counts(out).collect()} == dict(want)
+    seen, want = set(), collections.Counter()
+    for _, p, r in rows:
+        p, r = _cleaned(p), _cleaned(r)
+        reason = "deleted_or_empty" if p is None or r is None else "too_long" if len(p) > 1600 or len(r) > 1200 else "echo" if p.casefold() == r.casefold() else None
+        if reason is None:
+            reason = "duplicate" if (p, r) in seen else "kept"
+            seen.add((p, r))
+        want[reason] += 1
+    identity = F.struct("parent_clean", "response_clean")
+    got = filters.counts(filters.pair_reasons(df.drop("_first"), "p", "r", identity, "id", clean=udfs.clean_text))
+    assert {r.reason: r.n_rows for r in got.collect()} == dict(want)
+
+
+def test_batch_judgments(spark):
+    from weftline.operators import judging
+
+    good = '{"i": 0, "pick": "a", "r": 5, "d": 4, "f": 4, "s": 3, "n": 5, "h": false, "c": false}'
+    rows = [good, good.replace('"a"', '"c"'), good.replace('"r": 5', '"r": true'), good.replace('"r": 5', '"r": 6'), good.replace("3", "2"), good.replace('"h": false', '"h": true'), good.replace('"c": false', '"c": 0'), "{}", "x", None]
+    df = spark.createDataFrame([(r,) for r in rows], "reply string").select(F.from_json("reply", judging.BATCH_SCHEMA).alias("i"))
+    got = [tuple(r) for r in df.select(judging.batch_valid(F.col("i")), judging.batch_acceptable(F.col("i"))).collect()]
+    assert got == [(True, True), (False, False), (False, False), (False, False), (True, False), (True, False), (False, False), (False, False), (False, False), (False, False)]
+
+
+def test_small_array_and_set_operators(spark):
+    from weftline.functions import arrays as A
+    from weftline.functions import text as T
+    from weftline.functions.bpe import byte_signs
+
+    v = lambda *x: F.array(*[F.lit(float(i)) for i in x])
+    one = spark.range(1).select(
+        A.argmax(v(0, 1, 5, 2)).alias("a"), A.argmax(v(0, 1, 5, 5), F.array(F.lit(2))).alias("b"), A.argmax(v(1), F.array(F.lit(0))).alias("c"), A.masked_mean(v(1, 2, 9), F.array(F.lit(1), F.lit(1), F.lit(0))).alias("d"),
+        A.masked_mean(v(1), F.array(F.lit(0))).alias("e"), A.margin_loss(F.lit(1.0), F.lit(3.0)).alias("f"), A.padded(F.array(F.lit(7).cast("long")), F.lit(3)).alias("g"), T.typed(F.lit("  \n да  ")).alias("h"), T.typed(F.lit(" \n")).alias("i"),
+        T.overlap(F.array(F.lit("a"), F.lit("b"), F.lit("a")), F.array(F.lit("b"))).alias("j"), T.overlap(F.array().cast("array<string>"), F.array(F.lit("b"))).alias("k"), A.compared(v(*range(20)), v(*range(20))).alias("l"),
+    ).first()
+    assert one[:11] == (2, 3, None, 1.5, 0.0, 0.0, [7, 0, 0], "да", None, 1.0, 0.0)
+    assert tuple(one.l) == (0.0, 0.0, one.l.cosine, 1.0, True) and abs(one.l.cosine - 1) < 1e-9
+    signs = byte_signs()
+    assert len(set(signs.values())) == 256 and signs[65] == "A" and signs[32] == "Ġ" and signs[10] == "Ċ"
+
+
+def test_padded_batches(spark):
+    from weftline.operators import sampling
+
+    df = spark.createDataFrame([(i, [1] * (i % 9)) for i in range(50)], "id long, t array<long>")
+    got = sampling.padded_batches(df, "id", "t", 8, 3).collect()
+    assert len(got) == 50 and {len(r.t) for r in got if r.chunk == 2} == {max(sum(r.t) for r in got if r.chunk == 2)}
+    assert sorted(sum(r.t) for r in got) == sorted(i % 9 for i in range(50))

@@ -20,3 +20,8 @@ def test_cut_keeps_rows(spark):
     df = spark.range(10).withColumn("x", F.col("id") * 2)
     assert sorted(map(tuple, runtime.cut(df).collect())) == [(i, 2 * i) for i in range(10)]
     assert "LogicalRDD" in runtime.cut(df)._jdf.queryExecution().logical().toString()
+
+
+def test_a_cluster_needs_a_shared_folder():
+    assert all(runtime.is_local(m) for m in ("local", "local[8]", "local[*]", "local[4,2]"))
+    assert not any(runtime.is_local(m) for m in ("local-cluster[3,2,3000]", "spark://host:7077", "yarn", None))

@@ -123,3 +123,37 @@ def learning_rate(step: Column, warmup: int, steps: int, top: float, low: float)
     """Linear warm-up, then a cosine down to `low`."""
     progress = (step - warmup) / float(max(1, steps - warmup))
     return F.when(step <= warmup, top * step / float(max(1, warmup))).otherwise(low + 0.5 * (1 + F.cos(F.pi() * progress)) * (top - low))
+
+
+def argmax(v: Column, banned: Column | None = None) -> Column:
+    """The place of the greatest value, the first of equals; banned places don't count. Null if none is left."""
+    pairs = F.transform(v, lambda x, i: F.struct((-x).alias("minus"), i.alias("at")))
+    if banned is not None:
+        pairs = F.filter(pairs, lambda p: ~F.array_contains(banned, p["at"]))
+    return F.array_min(pairs)["at"]
+
+
+def masked_mean(values: Column, mask: Column) -> Column:
+    """Mean of the values whose mask is not 0; 0 where there is none."""
+    kept = F.filter(F.arrays_zip(values.alias("v"), mask.alias("m")), lambda x: x["m"] != 0)
+    return let(F.transform(kept, lambda x: x["v"].cast("double")), lambda a: total(a) / F.greatest(F.size(a), F.lit(1)))
+
+
+def margin_loss(positive: Column, negative: Column, margin: float = 0.25) -> Column:
+    """How far the loss of the right answer fails to be `margin` below that of a wrong one."""
+    return F.greatest(F.lit(0.0), F.lit(margin) + positive - negative)
+
+
+def padded(v: Column, width: Column, pad: int = 0) -> Column:
+    """The array brought to `width` by a padding value."""
+    return F.concat(v, F.array_repeat(F.lit(pad).cast("long"), (width - F.size(v)).cast("int")))
+
+
+def compared(a: Column, b: Column, k: int = 10) -> Column:
+    """How two vectors differ: largest and mean absolute difference, cosine, and the shared part of their k greatest places."""
+    gaps = F.zip_with(a, b, lambda x, y: F.abs(x.cast("double") - y))
+    places = lambda v: F.transform(top_k(v, k), lambda p: p["token"])
+    return F.struct(
+        F.array_max(gaps).alias("maximum_absolute"), (total(gaps) / F.size(gaps)).alias("mean_absolute"), cosine(a, b).alias("cosine"),
+        (F.size(F.array_intersect(places(a), places(b))) / F.lit(float(k))).alias("top_overlap"), (F.get(places(a), F.lit(0)) == F.get(places(b), F.lit(0))).alias("top_equal"),
+    )

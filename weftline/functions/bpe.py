@@ -19,6 +19,13 @@ VOCABULARY = os.environ.get("WEFTLINE_BPE", "/opt/tokenizers/byte_bpe_multi_50k.
 PIECES = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 
 
+def byte_signs() -> dict[int, str]:
+    """A printable sign for each byte: its own character if that is printable, else the next one from code point 256 on."""
+    own = [b for b in range(256) if chr(b).isprintable() and not chr(b).isspace()]
+    free = iter(range(256, 512))
+    return {b: chr(b if b in own else next(free)) for b in range(256)}
+
+
 class Merges:
     """Ranks of byte strings: a smaller rank is merged first."""
 

@@ -127,3 +127,18 @@ def prefix_echo(prompt: Column, response: Column) -> Column:
 def split_bucket(key: Column, buckets: int = 100) -> Column:
     """A stable bucket of a key, by the first 60 bits of its MD5."""
     return F.conv(F.substring(F.md5(key), 1, 15), 16, 10).cast("long") % buckets
+
+
+#: Blanks and line ends of any script.
+BLANKS = r"[\p{Z}\t\n\x0B\f\r\x{85}]+"
+
+
+def typed(text: Column) -> Column:
+    """What a user typed, without blanks and line ends around it; null where nothing is left."""
+    return F.nullif(F.regexp_replace(F.regexp_replace(text, "^" + BLANKS, ""), BLANKS + "$", ""), F.lit(""))
+
+
+def overlap(a: Column, b: Column) -> Column:
+    """Shared different items of two arrays, as a share of the smaller; 0 where one is empty."""
+    least = F.least(F.size(F.array_distinct(a)), F.size(F.array_distinct(b)))
+    return F.when(least > 0, F.size(F.array_intersect(a, b)) / least).otherwise(F.lit(0.0))

@@ -13,11 +13,14 @@ def first_wins(df: DataFrame, identity: Column, order: str) -> DataFrame:
 
 
 def mark_repeats(df: DataFrame, identity: Column, order: str, name: str) -> DataFrame:
-    """Set `reason` to `name` on rows without a reason whose identity an earlier such row has. `order` is unique.
+    """Set `reason` to `name` on rows without a reason whose identity an earlier such row has; `order` is unique, and rows that tie in it are all kept.
 
-    The first of each identity is found by a map-side aggregate, so that no window holds a hot identity.
+    The first of each identity is found by a map-side aggregate of (hash, order), so that no window holds a hot
+    identity. Rows are then joined with the identities that recur, which Spark broadcasts if they are few.
     """
+    keyed = df.withColumns({"_h": F.xxhash64(identity), "_m": F.md5(F.to_json(F.struct(identity.alias("k"))))})
     # no filter by reason here: it would be pushed below the projection and compute the reason's parts over again
-    keyed = df.select(F.xxhash64(identity).alias("_h"), F.md5(F.to_json(F.struct(identity.alias("k")))).alias("_m"), F.when(F.col("reason").isNull(), F.col(order)).alias(order))
-    firsts = keyed.groupBy("_h", "_m").agg(F.min(order).alias(order)).filter(F.col(order).isNotNull()).select(order, F.lit(True).alias("_first"))
-    return df.join(firsts, order, "left").withColumn("reason", F.when(F.col("reason").isNull() & F.col("_first").isNull(), F.lit(name)).otherwise(F.col("reason"))).drop("_first")
+    narrow = keyed.select("_h", "_m", F.when(F.col("reason").isNull(), F.col(order)).alias("_o"))
+    repeats = narrow.groupBy("_h", "_m").agg(F.min("_o").alias("_first"), F.count("_o").alias("_n")).filter("_n > 1").drop("_n")
+    later = F.col("reason").isNull() & F.coalesce(F.col(order) > F.col("_first"), F.lit(False))
+    return keyed.join(repeats, ["_h", "_m"], "left").withColumn("reason", F.when(later, F.lit(name)).otherwise(F.col("reason"))).drop("_h", "_m", "_first")

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -12,6 +14,7 @@ from weftline.functions import udfs
 HIDDEN_CONTEXT = "(?:на|в) (?:фото|картинке|скрине|скриншоте)|слева|справа|выше (?:же|напис)|ниже (?:же|напис)|автор (?:поста|статьи)|в (?:посте|статье)|этот коммент|на второй|на первой|тот случай"
 DEICTIC = "^(вот именно|и этот|и эта|и он|и она|он опять|она опять|это после|ну выше|тот самый)( |$)"
 SHORT_REFERENCE = "^(он|она|они|этот|эта|эти|там|тут|это тоже|так и)( |$)"
+# Links and markup, stock phrases, topics, and words that point outside.
 LINK = r"https?://|@|<\|"
 BOILERPLATE_START = "^(конечно|давайте разберемся|как ии|как искусственный интеллект|в качестве ии)"
 BOILERPLATE = ("как искусственный интеллект", "не могу ответить без контекста")
@@ -31,12 +34,11 @@ def counts(df: DataFrame, reason: str = "reason", *by: str) -> DataFrame:
     return df.groupBy(*by, F.coalesce(F.col(reason), F.lit("kept")).alias(reason)).agg(F.count("*").alias("n_rows"))
 
 
-def pair_reasons(df: DataFrame, parent: str, response: str, identity: Column, order: str, cleaned: bool = False, max_parent: int = 1600, max_response: int = 1200) -> DataFrame:
-    """Raw pairs with cleaned texts and a reason: deleted_or_empty, too_long, echo, duplicate."""
+def pair_reasons(df: DataFrame, parent: str, response: str, identity: Column, order: str, clean: Callable[[Column], Column] = T.clean, max_parent: int = 1600, max_response: int = 1200) -> DataFrame:
+    """Raw pairs with cleaned texts and a reason: deleted_or_empty, too_long, echo, duplicate. udfs.clean_text cleans entities and forms too."""
     from weftline.operators.dedup import mark_repeats
 
-    p, r = (F.col(parent), F.col(response)) if cleaned else (T.clean(F.col(parent)), T.clean(F.col(response)))
-    df = df.withColumns({"parent_clean": p, "response_clean": r})
+    df = df.withColumns({"parent_clean": clean(F.col(parent)), "response_clean": clean(F.col(response))})
     p, r = F.col("parent_clean"), F.col("response_clean")
     df = df.withColumn("reason", first_reason(
         ("deleted_or_empty", p.isNull() | r.isNull()),
@@ -52,13 +54,16 @@ def child_identity(child_id: str, parent: str, response: str) -> Column:
     return F.struct(has.alias("by_id"), F.when(has, F.col(child_id)).alias("id"), F.when(~has, F.col(parent)).alias("p"), F.when(~has, F.col(response)).alias("r"))
 
 
-def sft_reasons(df: DataFrame, prompt: str, response: str, order: str, excluded: DataFrame, excluded_prompt: str, max_prompt: int = 800, max_response: int = 600, max_sentences: int = 3) -> DataFrame:
-    """Training pairs with a reason: empty, too_long, leak (an excluded prompt in any case), echo, sentences, duplicate."""
+def sft_reasons(df: DataFrame, prompt: str, response: str, order: str, excluded: DataFrame, excluded_prompt: str, max_prompt: int = 800, max_response: int = 600, max_sentences: int = 3, clean: Callable[[Column], Column] = T.clean, resample: bool = False) -> DataFrame:
+    """Training pairs with a reason: empty, too_long, leak (an excluded prompt in any case), echo, sentences, duplicate.
+
+    With `resample` repeated pairs stay, under the reason resampled_duplicate.
+    """
     from weftline.operators.dedup import mark_repeats
 
     p, r = F.col("prompt_clean"), F.col("response_clean")
-    df = df.withColumns({"prompt_clean": T.clean(F.col(prompt)), "response_clean": T.clean(F.col(response))}).withColumn("_key", T.fold(p))
-    out = excluded.select(T.fold(T.clean(F.col(excluded_prompt))).alias("_key")).filter("_key IS NOT NULL").distinct().withColumn("_leak", F.lit(True))
+    df = df.withColumns({"prompt_clean": clean(F.col(prompt)), "response_clean": clean(F.col(response))}).withColumn("_key", T.fold(p))
+    out = excluded.select(T.fold(clean(F.col(excluded_prompt))).alias("_key")).filter("_key IS NOT NULL").distinct().withColumn("_leak", F.lit(True))
     df = df.join(out, "_key", "left").withColumn("reason", first_reason(
         ("empty", p.isNull() | r.isNull()),
         ("too_long", (F.char_length(p) > max_prompt) | (F.char_length(r) > max_response)),
@@ -66,15 +71,15 @@ def sft_reasons(df: DataFrame, prompt: str, response: str, order: str, excluded:
         ("echo", T.fold(p) == T.fold(r)),
         ("sentences", T.sentence_count(r) > max_sentences),
     ))
-    return mark_repeats(df, F.struct(F.col("_key"), T.fold(r)), order, "duplicate").drop("_key", "_leak")
+    return mark_repeats(df, F.struct(F.col("_key"), T.fold(r)), order, "resampled_duplicate" if resample else "duplicate").drop("_key", "_leak")
 
 
-def import_reasons(df: DataFrame, prompt: str, response: str, order: str, max_response: int = 350, max_sentences: int = 3) -> DataFrame:
+def import_reasons(df: DataFrame, prompt: str, response: str, order: str, max_response: int = 350, max_sentences: int = 3, clean: Callable[[Column], Column] = T.clean) -> DataFrame:
     """Generated replies with a reason: empty, too_long, sentences, boilerplate, duplicate."""
     from weftline.operators.dedup import mark_repeats
 
     p, r = F.col("prompt_clean"), F.col("response_clean")
-    df = df.withColumns({"prompt_clean": T.clean(F.col(prompt)), "response_clean": T.clean(F.col(response))})
+    df = df.withColumns({"prompt_clean": clean(F.col(prompt)), "response_clean": clean(F.col(response))})
     stock = F.lit(False)
     for x in BOILERPLATE:
         stock = stock | T.fold(r).contains(x)

@@ -42,6 +42,20 @@ def agreement(expected: Column, predicted: Column) -> Column:
     return F.aggregate(F.zip_with(expected, predicted, lambda a, b: (a == b).cast("double")), F.lit(0.0), lambda s, x: s + x) / F.size(expected)
 
 
+#: An item of a reply about many candidates: scores from 0 to 5, flags, and the candidate picked.
+BATCH_SCHEMA = "struct<i: int, pick: string, r: int, d: int, f: int, s: int, n: int, h: boolean, c: boolean>"
+
+
+def batch_valid(item: Column) -> Column:
+    """Whether an item has all scores within 0..5, both flags and a pick of a or b."""
+    return F.coalesce(_all([item[k].between(0, 5) for k in "rdfsn"] + [item[k].isNotNull() for k in "hc"] + [item["pick"].isin("a", "b")]), F.lit(False))
+
+
+def batch_acceptable(item: Column, core: int = 4, style: int = 3) -> Column:
+    """Whether a valid item's scores and flags let its pick pass; the text itself is judged by filters.response_rejection."""
+    return batch_valid(item) & F.coalesce((F.least(*[item[k] for k in "rdfn"]) >= core) & (item["s"] >= style) & ~item["h"] & ~item["c"], F.lit(False))
+
+
 def _all(conditions: list[Column]) -> Column:
     out = conditions[0]
     for c in conditions[1:]:

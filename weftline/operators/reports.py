@@ -30,3 +30,26 @@ def errors(a: str, b: str) -> list:
     """Aggregates of the difference of two number columns."""
     d = F.col(a) - F.col(b)
     return [F.avg(d * d).alias("mse"), F.max(F.abs(d)).alias("max_abs_error"), F.avg(F.abs(d)).alias("mean_abs_error")]
+
+
+def means(df: DataFrame, by: list[str], **metrics: Column) -> DataFrame:
+    """Rows and the mean of each metric by group; a null metric doesn't count."""
+    return df.groupBy(*by).agg(F.count("*").alias("n_rows"), *[F.avg(m.cast("double")).alias(k) for k, m in metrics.items()])
+
+
+def content_hash(df: DataFrame, *columns: str) -> DataFrame:
+    """One row: the number of rows and a hash of their contents that doesn't depend on order, as a sum of 60-bit hashes."""
+    row = F.md5(F.concat_ws("\x1f", *[F.coalesce(F.col(c).cast("string"), F.lit("\x00")) for c in columns]))
+    return df.agg(F.count("*").alias("n_rows"), F.coalesce(F.sum(F.conv(F.substring(row, 1, 15), 16, 10).cast("decimal(20,0)")), F.lit(0)).cast("string").alias("content"))
+
+
+def contiguous(df: DataFrame, id_column: str) -> DataFrame:
+    """One row: whether the ids are 0..n-1, each once."""
+    c = F.col(id_column)
+    return df.agg(F.count("*").alias("n_rows"), F.coalesce((F.min(c) == 0) & (F.max(c) == F.count("*") - 1) & (F.count_distinct(c) == F.count("*")), F.lit(False)).alias("contiguous"))
+
+
+def audit(df: DataFrame, id_column: str, preset: str, seed: int, per_category: int) -> DataFrame:
+    """Rows of one preset and seed whose id ends in a number below `per_category`."""
+    number = F.regexp_extract(id_column, r"-(\d+)$", 1)
+    return df.filter((F.col("preset") == preset) & (F.col("seed") == seed) & (number != "") & (number.cast("long") < per_category))

@@ -70,3 +70,13 @@ def best(df: DataFrame, by: str, score: Column, text: str, position: str) -> Dat
     """For each `by` the row of the highest score; a tie goes to the shorter text, then to the earlier position."""
     rank = F.struct(score.alias("s"), (-F.char_length(text)).alias("l"), (-F.col(position)).alias("p"))
     return df.groupBy(by).agg(F.max_by(text, rank).alias(text), F.max(score).alias("score"))
+
+
+def padded_batches(df: DataFrame, key: str, tokens: str, size: int, seed: int, pad: int = 0) -> DataFrame:
+    """Rows dealt to batches of `size` in a seeded order, with their tokens padded to the width of the batch: chunk, width, tokens."""
+    from weftline.functions.arrays import padded
+
+    dealt = chunk_number(df.withColumn("_deal", F.md5(F.concat(F.lit(f"{seed}:"), F.col(key).cast("string")))), "_deal", size)
+    # a chunk has at most `size` rows
+    widths = dealt.groupBy("chunk").agg(F.max(F.size(tokens)).alias("width"))
+    return dealt.join(widths, "chunk").withColumn(tokens, padded(F.col(tokens), F.col("width"), pad)).drop("_deal")

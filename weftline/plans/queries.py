@@ -165,10 +165,11 @@ def fill_template(spark, d):
     return table(spark, d, "eval_stage3_exclude", "id", "category", "prompt").select("id", T.fill(F.lit("Вопрос {c}: {p}"), c=F.col("category"), p=T.lower_first(F.col("prompt"))).alias("filled"))
 
 
-@query(r"SELECT id, 'абв ' || id AS reply FROM eval_stage3_exclude")
+@query(r"SELECT pair_id, trim(response, ' ' || chr(9) || chr(10) || chr(13)) AS reply FROM clean_pairs WHERE NOT contains(response, '`')")
 def strip_fences(spark, d):
-    fenced = F.concat(F.lit("```json\nабв "), F.col("id"), F.lit("\n```"))
-    return table(spark, d, "eval_stage3_exclude", "id").select("id", T.strip_fence(fenced).alias("reply"))
+    x = F.col("response")
+    fenced = F.when(F.col("pair_id") % 2 == 0, F.concat(F.lit("```json\n"), x, F.lit("\n```"))).otherwise(x)
+    return table(spark, d, "clean_pairs", "pair_id", "response").filter(~x.contains("`")).select("pair_id", T.strip_fence(fenced).alias("reply"))
 
 
 @query("SELECT coalesce(nullif(source, ''), sha256(text)) AS id, count(*)::BIGINT AS n FROM documents GROUP BY 1")
@@ -353,23 +354,25 @@ def strict_originals(spark, d):
 # Judging
 
 
-_JUDGED = """j AS (SELECT pair_id, response, (coalesce(parent_likes, 0) % 6 + 6) % 6 AS a, (coalesce(response_likes, 0) % 6 + 6) % 6 AS b, (coalesce(reply_count, 0) % 6 + 6) % 6 AS c, pair_id % 5 = 0 AS h FROM clean_pairs WHERE response IS NOT NULL)"""
+# a seventh of the scores is out of range
+_JUDGED = """j AS (SELECT pair_id, response, (coalesce(parent_likes, 0) % 7 + 7) % 7 AS a, (coalesce(response_likes, 0) % 7 + 7) % 7 AS b, (coalesce(reply_count, 0) % 7 + 7) % 7 AS c, pair_id % 5 = 0 AS h FROM clean_pairs WHERE response IS NOT NULL)"""
 
 
 def _judgments(spark, d):
-    six = lambda c: F.pmod(F.coalesce(F.col(c), F.lit(0)), F.lit(6))
+    seven = lambda c: F.pmod(F.coalesce(F.col(c), F.lit(0)), F.lit(7))
     df = table(spark, d, "clean_pairs", "pair_id", "response", "parent_likes", "response_likes", "reply_count").filter("response IS NOT NULL")
     reply = F.format_string(
         '```json\n{"self_contained": true, "scores": [{"relevance": %s, "directness": %s, "fluency": %s, "style": %s, "non_repetition": 5, "hidden_context": %s, "prompt_copy": false, "reason": "x"}]}\n```',
-        six("parent_likes"), six("response_likes"), F.lit(5), six("reply_count"), (F.col("pair_id") % 5 == 0).cast("string"),
+        seven("parent_likes"), seven("response_likes"), F.lit(5), seven("reply_count"), (F.col("pair_id") % 5 == 0).cast("string"),
     )
     return df.select("pair_id", "response", judging.parse(reply).alias("j"))
 
 
-@query(f"WITH {_JUDGED} SELECT pair_id, true AS valid, a >= 4 AND b >= 4 AND c >= 3 AND NOT h AS accepted, (5 * a + 3 * b + 5 + c)::BIGINT AS score FROM j")
+@query(f"WITH {_JUDGED} SELECT pair_id, greatest(a, b, c) <= 5 AS valid, greatest(a, b, c) <= 5 AND a >= 4 AND b >= 4 AND c >= 3 AND NOT h AS accepted, (5 * a + 3 * b + 5 + c)::BIGINT AS score FROM j")
 def judge_accept(spark, d):
     s = F.get("j.scores", F.lit(0))
-    return _judgments(spark, d).select("pair_id", judging.valid(F.col("j"), 1).alias("valid"), judging.acceptable(s).alias("accepted"), judging.rank_score(s).cast("long").alias("score"))
+    valid = judging.valid(F.col("j"), 1)
+    return _judgments(spark, d).select("pair_id", valid.alias("valid"), (valid & judging.acceptable(s)).alias("accepted"), judging.rank_score(s).cast("long").alias("score"))
 
 
 @query(f"WITH {_JUDGED} SELECT g AS grp, first(response ORDER BY score DESC, length(response), pair_id) AS response, max(score) AS score FROM (SELECT *, (5 * a + 3 * b + 5 + c)::BIGINT AS score, pair_id // 4 AS g FROM j) GROUP BY g")
@@ -406,11 +409,13 @@ def reject_list(spark, d):
     return joins.without(table(spark, d, "sft_pairs", "sft_id", "parent"), bad, ["sft_id"])
 
 
-@query("SELECT doc_id, source FROM documents d WHERE NOT EXISTS (SELECT 1 FROM clean_pairs c WHERE c.pair_id = d.doc_id AND c.source = d.source)")
+@query("SELECT doc_id, source FROM documents WHERE source IS NULL OR NOT coalesce(likes >= 5, false)")
 def resume_todo(spark, d):
     from weftline.sources.ledger import todo
 
-    return todo(table(spark, d, "documents", "doc_id", "source"), table(spark, d, "clean_pairs", F.col("pair_id").alias("doc_id"), "source"), ["doc_id", "source"]).select("doc_id", "source")
+    # the log holds what has five likes; a key with a null never matches
+    done = table(spark, d, "documents", "doc_id", "source", "likes").filter("likes >= 5")
+    return todo(table(spark, d, "documents", "doc_id", "source"), done, ["doc_id", "source"]).select("doc_id", "source")
 
 
 @query(r"SELECT id, place::BIGINT AS place, trim(part) AS part FROM (SELECT id, unnest(string_split_regex(prompt, '[.:,]')) AS part, unnest(range(len(string_split_regex(prompt, '[.:,]')))) AS place FROM eval_stage3_exclude) WHERE trim(part) <> ''")
@@ -418,6 +423,7 @@ def explode_family(spark, d):
     return joins.family(table(spark, d, "eval_stage3_exclude", "id", "prompt"), "prompt", "[.:,]").select("id", F.col("place").cast("long").alias("place"), "part")
 
 
+# Presets of sampling.
 PRESETS = [
     {"name": "legacy", "temperature": 0.8, "top_k": 40, "penalty": 1.08},
     {"name": "A", "temperature": 0.45, "top_k": 10, "penalty": 1.0},
@@ -697,13 +703,11 @@ def lr_schedule(spark, d):
     return spark.range(1, 601).select(F.col("id").alias("step"), F.round(A.learning_rate(F.col("id"), 100, 600, 2e-5, 5e-6), 10).alias("rate"))
 
 
-# merging has no SQL form; tested against a tokenizer library
-@query()
+@query("SELECT doc_id, md5(nfc_normalize(text)) AS decoded_md5 FROM documents")
 def bpe_roundtrip(spark, d):
     from weftline.functions import bpe
 
-    df = table(spark, d, "documents", "doc_id", "text").withColumn("ids", bpe.encode(F.col("text")))
-    return df.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), (F.char_length(bpe.decode(F.col("ids"))) <= F.char_length("text")).alias("no_longer"))
+    return table(spark, d, "documents", "doc_id", "text").select("doc_id", F.md5(bpe.decode(bpe.encode(F.col("text")))).alias("decoded_md5"))
 
 
 @query()

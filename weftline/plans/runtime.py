@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -20,15 +21,23 @@ def table(spark: SparkSession, sf_dir: str, name: str, *columns: str) -> DataFra
     return df.select(*columns) if columns else df
 
 
+def is_local(master: str | None) -> bool:
+    """Whether all tasks run in the driver's process."""
+    return bool(re.fullmatch(r"local(\[[^\]]*\])?", master or ""))
+
+
 def cut(df: DataFrame) -> DataFrame:
     """Write `df` to the shared checkpoint folder and go on from there.
 
-    The folder is the cluster's (spark.checkpoint.dir); only where that is unset, as in tests,
-    a temporary one is made.
+    The folder is the cluster's (spark.checkpoint.dir). Where that is unset, a temporary one is made on a local
+    master; on a cluster, whose executors don't share such a folder, it is an error.
     """
-    sc = df.sparkSession.sparkContext
-    if not df.sparkSession.conf.get("spark.checkpoint.dir", None) and sc._jsc.sc().getCheckpointDir().isEmpty():
-        sc.setCheckpointDir(tempfile.mkdtemp(prefix="weftline-"))
+    spark, sc = df.sparkSession, df.sparkSession.sparkContext
+    if sc._jsc.sc().getCheckpointDir().isEmpty():
+        folder = spark.conf.get("spark.checkpoint.dir", None)
+        if not folder and not is_local(sc.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+        sc.setCheckpointDir(folder or tempfile.mkdtemp(prefix="weftline-"))
     return df.checkpoint()
 
 
