@@ -83,3 +83,12 @@ def test_hot_form_is_salted(spark, monkeypatch):
 def test_columns(spark):
     df = spark.createDataFrame([("cыр", None, 1)], "a string, b string, form int")
     assert tuple(canon.canonical_text(df, "a", "b").first()) == ("сыр", None, 1)
+
+
+def test_classes(spark, monkeypatch):
+    from weftline.plans import runtime
+
+    monkeypatch.setattr(runtime, "HOT_ROWS", 5)
+    rows = [(i, "он и она", "да" if i % 2 else "дa") for i in range(30)] + [(40, "сам", "ок"), (41, "сам", "ок"), (42, None, "ок")]
+    got = canon.look_alike_classes(spark.createDataFrame(rows, "row_id long, a string, b string"), "row_id", "a", "b").collect()
+    assert len(got) == 30 and {(r.class_id, r.n_rows, r.n_spellings) for r in got} == {(0, 30, 2)} and len({r.spelling for r in got}) == 2

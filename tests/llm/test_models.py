@@ -368,3 +368,49 @@ def test_tokenizer_kinds_agree():
     a, b = (packing.encoder(f"{packing.TOKENIZERS}/{n}") for n in ("byte_bpe_50k.json", "byte_bpe_50k.tiktoken"))
     texts = ["It's a tidy map, isn't it?  Да.\n", "Привет 123 мир"]
     assert a(texts) == b(texts)
+
+
+def test_sources_in_containers(spark):
+    rng = random.Random(8)
+    items = [(i, f"s{i % 3}", i, rng.randrange(1, 30)) for i in range(300)]
+    df = spark.createDataFrame(items, "doc_id long, source string, cluster long, size long")
+    of = {i: s for i, s, _, _ in items}
+    for per_source in (1, 4):
+        bins = {}
+        for r in packing.pack(df, 100, per_source=per_source).collect():
+            bins.setdefault(r.container, []).append(of[r.doc_id])
+        assert max(max(map(b.count, b)) for b in bins.values()) == per_source
+
+
+def test_recall_of_candidates(spark):
+    """Quotes with odd words and slips: what retrieval and seeds find of what aligning every pair finds."""
+    rng = random.Random(21)
+    passages = [(i, sentence(rng, 40)) for i in range(15)]
+    docs = []
+    for i in range(300):
+        quote = passages[i % 15][1].split()[rng.randrange(14) :][: rng.randrange(12, 26)]
+        for _ in range(rng.randrange(4)):
+            at, how = rng.randrange(len(quote)), rng.random()
+            if how < 0.5:
+                quote[at] = quote[at][:-1] + "эюя"[rng.randrange(3)]
+            elif how < 0.8:
+                quote[at] = rng.choice(VOCABULARY)
+            else:
+                del quote[at]
+        words = sentence(rng, 50).split()
+        words[25:25] = quote
+        docs.append((i, " ".join(words)))
+    cut = {p: leaks.words_of(t) for p, t in passages}
+    truth = {(i, p) for i, t in docs for p, w in cut.items() if leaks.longest_quote(leaks.words_of(t), w, 12) >= 12}
+    got = {(r.doc_id, r.passage_id) for r in leaks.found(spark.createDataFrame(docs, "doc_id long, text string"), "doc_id", "text", spark.createDataFrame(passages, "passage_id long, text string"), "passage_id", "text").collect()}
+    assert len(truth) > 150 and len(got & truth) / len(truth) >= 0.97 and got <= truth
+
+
+def test_blocks_of_passages(spark, monkeypatch):
+    rng = random.Random(22)
+    passages = [(i, sentence(rng, 30)) for i in range(12)]
+    docs = [(i, sentence(rng, 10) + " " + passages[i % 12][1] + " " + sentence(rng, 10)) for i in range(36)]
+    args = spark.createDataFrame(docs, "doc_id long, text string"), "doc_id", "text", spark.createDataFrame(passages, "passage_id long, text string"), "passage_id", "text"
+    whole = sorted(map(tuple, leaks.found(*args).collect()))
+    monkeypatch.setattr(leaks, "BLOCK_CHARS", 1000)
+    assert sorted(map(tuple, leaks.found(*args).collect())) == whole and len(whole) == 36

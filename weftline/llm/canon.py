@@ -25,6 +25,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
+from weftline.plans.runtime import cut, hot_keys, salted_join
+
 # Letters that look the same, Latin, Cyrillic and (any number of) others.
 LOOK_ALIKES = """
 a а α
@@ -58,9 +60,13 @@ X Х Χ
 Y У Υ
 N - Ν
 Z - Ζ
+g - ɡ
+l - ӏ
 v - ν
 u - υ
 """
+# Letters of other scripts that look like Latin capitals, each after the capital.
+CAPITALS = "AꓮᎪ BꓐᏴ CꓚᏟ DꓓᎠ EꓰᎬ FꓝꞘ GꓖᏀ HꓧᎻ Iꓲ JꓙᎫ KꓗᏦ LꓡᏞ MꓟᎷ Nꓠ Oꓳ PꓑᏢ RꓣᎡ SꓢᏚ TꓔᎢ Uꓴ VꓦᏙ WꓪᎳ Xꓫ Yꓬ ZꓜᏃ".replace("Ꞙ", "")
 #: Hyphens that cannot be told from the common one.
 HYPHENS = "‐‑"
 #: Invisible characters outside the category Cf.
@@ -101,6 +107,12 @@ class Transducer:
                 self.to_latin[ch] = latin
                 if cyrillic != "-":
                     self.to_cyrillic[ch] = cyrillic
+        for latin, *others in CAPITALS.split():
+            for ch in (latin, *others):
+                if self.to_latin.setdefault(ch, latin) != latin:
+                    raise ValueError(f"{ch!r} is in two classes")
+                if ch != latin and latin in self.to_cyrillic:
+                    self.to_cyrillic[ch] = self.to_cyrillic[latin]
         # precomposed letters follow their bases: Latin e with diaeresis and Cyrillic io
         for cp in range(0xC0, 0x500):
             ch = chr(cp)
@@ -221,20 +233,33 @@ def look_alike_keys(df: DataFrame, row_id: str, first: str, second: str) -> Data
     return named.filter("length(a) > 0 AND length(b) > 0").mapInArrow(_keyed, "row_id long, form binary, raw binary")
 
 
+def _spelled(df: DataFrame, row_id: str, first: str, second: str) -> tuple[DataFrame, list]:
+    """Keys of the rows whose form has two or more spellings, with the form's smallest row and its sizes; and the hot forms."""
+    keys = cut(look_alike_keys(df, row_id, first, second))
+    forms = keys.groupBy("form").agg(F.min("row_id").alias("class_id"), F.count("*").alias("n_rows"), F.count_distinct("raw").alias("n_spellings")).filter("n_spellings > 1")
+    forms = cut(forms)
+    hot = hot_keys(forms, "form", "n_rows")
+    return salted_join(keys, forms, "form", F.col("row_id"), hot), hot
+
+
+def look_alike_classes(df: DataFrame, row_id: str, first: str, second: str) -> DataFrame:
+    """(row_id, class_id, spelling, n_rows, n_spellings): the rows of each form that has two or more spellings, one row for each.
+
+    `class_id` is the smallest row of the class, `spelling` a digest that rows equal in every character share. However
+    hot a form is, it gives as many rows as it has.
+    """
+    return _spelled(df, row_id, first, second)[0].select("row_id", "class_id", F.hex("raw").alias("spelling"), "n_rows", "n_spellings")
+
+
 def look_alike_pairs(df: DataFrame, row_id: str, first: str, second: str) -> DataFrame:
     """(row_a, row_b), row_a < row_b: rows whose two texts look the same but differ in some character.
 
-    Rows with a null or empty text, and pairs equal in every character, are no pairs. The key
-    table (40 bytes a row) is written once; only forms with two or more spellings are joined,
-    rows of hot forms spread over salts.
+    Rows with a null or empty text, and pairs equal in every character, are no pairs. The key table (40 bytes a row) is
+    written once; only forms with two or more spellings are joined, rows of hot forms spread over salts. A form of many
+    rows has many pairs; look_alike_classes() tells the same without them.
     """
-    from weftline.plans.runtime import cut, hot_keys, salted_join
-
-    keys = cut(look_alike_keys(df, row_id, first, second))
-    forms = keys.groupBy("form").agg(F.count("*").alias("n"), F.count_distinct("raw").alias("spellings")).filter("spellings > 1").select("form", "n")
-    forms = cut(forms)
-    hot = hot_keys(forms, "form", "n")
-    a = keys.join(forms.select("form"), "form", "left_semi") if not hot else salted_join(keys, forms.select("form"), "form", F.col("row_id"), hot)
-    a = a.withColumnRenamed("row_id", "row_a").withColumnRenamed("raw", "raw_a")
-    b = keys.join(forms.select("form"), "form", "left_semi").withColumnRenamed("row_id", "row_b").withColumnRenamed("raw", "raw_b")
+    rows, hot = _spelled(df, row_id, first, second)
+    rows = cut(rows.select("form", "row_id", "raw"))
+    a = rows.withColumnsRenamed({"row_id": "row_a", "raw": "raw_a"})
+    b = rows.withColumnsRenamed({"row_id": "row_b", "raw": "raw_b"})
     return salted_join(a, b, "form", F.col("row_a"), hot).filter("row_a < row_b AND raw_a <> raw_b").select("row_a", "row_b")

@@ -30,9 +30,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from weftline.llm.canon import canonical
+from weftline.plans.runtime import cut
 
 _WORD = re.compile(r"[^\W_]+")
-_TAG = re.compile(r"</?[a-zA-Z][^<>]{0,80}>")
+_TAG = re.compile(r"</?[a-zA-Z][^<>]*>")
 
 
 def words_of(text: str | None) -> list[str]:
@@ -112,9 +113,13 @@ def _gram_product(spark, rows: list[np.ndarray], idf: np.ndarray, basis: np.ndar
         yield pa.RecordBatch.from_arrays([pa.array(used), pa.array(list(out[used]), pa.list_(pa.float64()))], ["word", "row"])
 
     total = np.zeros(basis.shape, np.float64)
+    zeros = F.array_repeat(F.lit(0.0), basis.shape[1])
     df = spark.createDataFrame([([int(x) for x in r],) for r in rows], "row array<long>").repartition(max(1, min(8, len(rows) // 500)))
-    for word, row in df.mapInArrow(part, "word long, row array<double>").toLocalIterator():
-        total[word] += row
+    # a word has one partial row from each of at most eight partitions; their sums are the vocabulary's size
+    parts = df.mapInArrow(part, "word long, row array<double>").groupBy("word").agg(F.aggregate(F.collect_list("row"), zeros, lambda s, x: F.zip_with(s, x, lambda a, b: a + b)).alias("row"))
+    got = parts.toArrow()
+    if got.num_rows:
+        total[got.column("word").to_numpy()] = got.column("row").combine_chunks().flatten().to_numpy().reshape(got.num_rows, -1)
     shared.unpersist()
     return total.astype(np.float32)
 
@@ -166,11 +171,15 @@ def alike(a: str, b: str) -> bool:
     return x[1:] == y or x == y[1:] or x[1:] == y[1:] or (x[2:] == y[2:] and x[:2] == y[1::-1])
 
 
+#: Characters of passages that one space holds: their windows in 128 dimensions take some 20 bytes for each.
+BLOCK_CHARS = 10_000_000
+
+
 def build(docs: DataFrame, text: str, passages: DataFrame, passage_id: str, passage_text: str, width: int = 16, step: int = 4, rank: int = 128) -> Space:
-    """Fit the space. The passages are evaluation material of a size that fits one process (checked: 200 MB of text)."""
+    """Fit the space of at most BLOCK_CHARS characters of passages; found() takes any number of them, block by block."""
     size = passages.agg(F.coalesce(F.sum(F.length(passage_text)), F.lit(0))).first()[0]
-    if size > 200_000_000:
-        raise ValueError("too many passages for one space; fit them in blocks")
+    if size > 2 * BLOCK_CHARS:
+        raise ValueError("too many passages for one space; found() takes them in blocks")
     kept = [(r[0], words_of(r[1])) for r in passages.select(passage_id, passage_text).orderBy(passage_id).collect()]
     kept = [p for p in kept if p[1]]
     vocabulary = {w: i for i, w in enumerate(sorted({w for _, ws in kept for w in ws}))}
@@ -178,6 +187,24 @@ def build(docs: DataFrame, text: str, passages: DataFrame, passage_id: str, pass
     return Space(docs.sparkSession, kept, df, n, vocabulary, width, step, rank)
 
 
+def found(docs: DataFrame, doc_id: str, text: str, passages: DataFrame, passage_id: str, passage_text: str, **options) -> DataFrame:
+    """leaks() of any number of passages: blocks of about BLOCK_CHARS characters, dealt by a hash of the id, each with a space of its own.
+
+    A pair of a document and a passage doesn't depend on other passages but for the latent space; of several blocks
+    each is searched and written before the next one is broadcast.
+    """
+    size = passages.agg(F.coalesce(F.sum(F.length(passage_text)), F.lit(0))).first()[0]
+    blocks = max(1, -(-size // BLOCK_CHARS))
+    if blocks == 1:
+        return leaks(docs, doc_id, text, build(docs, text, passages, passage_id, passage_text), **options)
+    out = None
+    for k in range(blocks):
+        block = passages.filter(F.pmod(F.xxhash64(F.col(passage_id).cast("string")), F.lit(blocks)) == k)
+        part = cut(leaks(docs, doc_id, text, build(docs, text, block, passage_id, passage_text), **options))
+        out = part if out is None else out.union(part)
+    return out
+
+
 def seed_size(least: int) -> int:
     """Neighbouring words that any quote of `least` words or more, with at most one odd word in seven and one in any case, holds unbroken."""
     odd = lambda n: max(1, n // 7)

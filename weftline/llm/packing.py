@@ -6,7 +6,7 @@ Items are dealt to packing groups of about `group_rows` by hash; within a group
 largest first. Open bins stand in lists by residual, with one bit for each residual that has bins;
 the successor search goes from the item's size upwards to the tightest bin, passing over bins whose
 bitmaps conflict: a bin holds at most one item of a duplicate cluster and, if `per_source` is set,
-at most so many of a source. No bin is passed over for any other reason, so the bin found is the tightest
+at most so many of a source (bitmap k of a bin has the sources of which it holds more than k items). No bin is passed over for any other reason, so the bin found is the tightest
 compatible one; if there is none a new one is opened.
 
 Duplicate clusters are texts equal in their folded words. Documents without tokens (null, empty)
@@ -25,6 +25,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from weftline.functions.bpe import PIECES
 from weftline.llm.leaks import words_of
 from weftline.plans.runtime import cut
 
@@ -42,8 +43,7 @@ def encoder(path: str):
 
             with open(path, "rb") as f:
                 ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
-            pattern = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
-            e = tiktoken.Encoding("own", pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
+            e = tiktoken.Encoding("own", pat_str=PIECES, mergeable_ranks=ranks, special_tokens={})
             _encoders[path] = lambda texts: [len(e.encode_ordinary(t)) for t in texts]
         elif path.endswith(".model"):
             import sentencepiece
@@ -82,34 +82,37 @@ class Bins:
         self.by_residual: list[list[int]] = [[] for _ in range(capacity + 1)]
         self.full = 0  # bit r: there are bins with r free
         self.clusters: list[int] = []  # bitmaps: bit c, the group's cluster number
-        self.sources: list[dict[int, int]] = []
+        self.sources: list[list[int]] = []  # bitmaps: bit s of bitmap k, more than k items of the group's source s
 
     def put(self, size: int, cluster: int, source: int) -> int:
-        bit = 1 << cluster
+        bit, own = 1 << cluster, 1 << source
         left = self.full >> size << size
         while left:
             r = (left & -left).bit_length() - 1
             bins = self.by_residual[r]
             for k in range(len(bins) - 1, -1, -1):
                 b = bins[k]
-                if self.clusters[b] & bit or (self.per_source and self.sources[b].get(source, 0) >= self.per_source):
+                if self.clusters[b] & bit or (self.per_source and self.sources[b][-1] & own):
                     continue
                 del bins[k]
                 if not bins:
                     self.full &= ~(1 << r)
-                self._add(b, r - size, bit, source)
+                self._add(b, r - size, bit, own)
                 return b
             left &= left - 1
         b = len(self.clusters)
         self.clusters.append(0)
-        self.sources.append({})
-        self._add(b, self.capacity - size, bit, source)
+        self.sources.append([0] * (self.per_source or 1))
+        self._add(b, self.capacity - size, bit, own)
         return b
 
-    def _add(self, b: int, residual: int, bit: int, source: int) -> None:
+    def _add(self, b: int, residual: int, bit: int, own: int) -> None:
         self.clusters[b] |= bit
-        if self.per_source:
-            self.sources[b][source] = self.sources[b].get(source, 0) + 1
+        planes = self.sources[b]
+        for k, plane in enumerate(planes):
+            if not plane & own:
+                planes[k] = plane | own
+                break
         if residual:
             self.by_residual[residual].append(b)
             self.full |= 1 << residual

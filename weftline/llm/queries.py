@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from weftline.llm import abuse, canon, collapse, components, leaks, packing, pairs, residue, winnow
 from weftline.llm.pairs import is_empty
-from weftline.plans.runtime import table
+from weftline.plans.runtime import cut, table
 
 SHARES = {"train": 0.9, "validation": 0.05, "test": 0.05}
 LINKS = ["comment_id_parent", "comment_id_child"]
@@ -63,6 +63,11 @@ def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return canon.look_alike_pairs(table(spark, sf_dir, "raw_pairs", "row_id", "parent_comment", "child_comment"), "row_id", "parent_comment", "child_comment")
 
 
+def p4_classes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rows that look the same, as classes and their members."""
+    return canon.look_alike_classes(table(spark, sf_dir, "raw_pairs", "row_id", "parent_comment", "child_comment"), "row_id", "parent_comment", "child_comment")
+
+
 def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return components.Entities(table(spark, sf_dir, "raw_pairs", "row_id", "post_title", *LINKS), "row_id", "post_title", LINKS).mixed()
 
@@ -95,28 +100,34 @@ def p6_raw_rates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.groupBy(F.col("id.shard").alias("shard")).agg(F.count("*").alias("n_rows"), F.count_if(F.col("score") >= 0.5).alias("n_flagged"), F.count_if(F.col("id.child_comment_tox") >= 0.8).alias("n_hinted"))
 
 
-def _packed(spark: SparkSession, sf_dir: str, capacity: int) -> DataFrame:
+def _sized(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents", "doc_id", "text", "source")
-    return packing.pack(packing.sized(docs, "doc_id", "text", "source", f"{packing.TOKENIZERS}/byte_bpe_multi_50k.tiktoken"), capacity)
+    return packing.sized(docs, "doc_id", "text", "source", f"{packing.TOKENIZERS}/byte_bpe_multi_50k.tiktoken")
 
 
 def p7_containers_256(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _packed(spark, sf_dir, 256)
+    return packing.pack(_sized(spark, sf_dir), 256)
 
 
 def p7_containers_2048(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _packed(spark, sf_dir, 2048)
+    return packing.pack(_sized(spark, sf_dir), 2048)
+
+
+def p7_mixed_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Containers of 2,048 tokens with at most eight documents of a source, by the bins' source bitmaps."""
+    return packing.pack(_sized(spark, sf_dir), 2048, per_source=8)
 
 
 def p7_report(spark: SparkSession, sf_dir: str) -> DataFrame:
-    reports = [packing.report(_packed(spark, sf_dir, c), c).select(F.lit(c).alias("capacity"), "*") for c in (256, 2048)]
+    items = cut(_sized(spark, sf_dir))
+    reports = [packing.report(packing.pack(items, c), c).select(F.lit(c).alias("capacity"), "*") for c in (256, 2048)]
     return reports[0].union(reports[1])
 
 
 def p8_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents", "doc_id", "text")
-    space = leaks.build(docs, "text", table(spark, sf_dir, "eval_passages", "passage_id", "text"), "passage_id", "text")
-    return leaks.leaks(docs, "doc_id", "text", space).select("doc_id", "passage_id")
+    passages = table(spark, sf_dir, "eval_passages", "passage_id", "text")
+    return leaks.found(docs, "doc_id", "text", passages, "passage_id", "text").select("doc_id", "passage_id")
 
 
 def p9_found(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -125,7 +136,7 @@ def p9_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {"p1_found": p1_found, "p1_records": p1_records, "p1_report": p1_report, "p2_found": p2_found, "p3_found": p3_found, "p4_found": p4_found, "p5_found": p5_found, "p5_split_sizes": p5_split_sizes, "p6_found": p6_found, "p6_rates": p6_rates, "p6_raw_rates": p6_raw_rates, "p7_containers_256": p7_containers_256, "p7_containers_2048": p7_containers_2048, "p7_report": p7_report, "p8_found": p8_found, "p9_found": p9_found}
+    return {"p1_found": p1_found, "p1_records": p1_records, "p1_report": p1_report, "p2_found": p2_found, "p3_found": p3_found, "p4_found": p4_found, "p4_classes": p4_classes, "p5_found": p5_found, "p5_split_sizes": p5_split_sizes, "p6_found": p6_found, "p6_rates": p6_rates, "p6_raw_rates": p6_raw_rates, "p7_containers_256": p7_containers_256, "p7_containers_2048": p7_containers_2048, "p7_mixed_sources": p7_mixed_sources, "p7_report": p7_report, "p8_found": p8_found, "p9_found": p9_found}
 
 
 _KEY = r"regexp_replace(lower({}), '[^\p{{L}}\p{{N}}\p{{M}}]+', '', 'g')"
