@@ -173,12 +173,12 @@ def test_reports(spark):
 def test_ledger(spark, tmp_path):
     src = tmp_path / "in.txt"
     src.write_text("a")
-    m = ledger.manifest({"seed": 1}, [str(src)])
+    m = ledger.manifest(spark, {"seed": 1}, [str(src)])
     ledger.guard(str(tmp_path / "m.json"), m)
     ledger.guard(str(tmp_path / "m.json"), m)
     src.write_text("b")
     with pytest.raises(ValueError):
-        ledger.guard(str(tmp_path / "m.json"), ledger.manifest({"seed": 1}, [str(src)]))
+        ledger.guard(str(tmp_path / "m.json"), ledger.manifest(spark, {"seed": 1}, [str(src)]))
     log = str(tmp_path / "log")
     schema = "id string, status string"
     assert ledger.read(spark, log, schema).count() == 0
@@ -322,3 +322,19 @@ def test_padded_batches(spark):
     got = sampling.padded_batches(df, "id", "t", 8, 3).collect()
     assert len(got) == 50 and {len(r.t) for r in got if r.chunk == 2} == {max(sum(r.t) for r in got if r.chunk == 2)}
     assert sorted(sum(r.t) for r in got) == sorted(i % 9 for i in range(50))
+
+
+def test_shared_files(spark, tmp_path):
+    from weftline.sources import shared
+
+    for path in (str(tmp_path / "a" / "x.json"), f"file://{tmp_path}/b/x.json", f"file:{tmp_path}/c/x.json"):
+        assert shared.read_bytes(path) is None and shared.names(path.rsplit("/", 1)[0]) == []
+        shared.write_bytes(path, b"1")
+        assert shared.read_bytes(path) == b"1" and shared.names(path.rsplit("/", 1)[0]) == ["x.json"]
+    df = spark.createDataFrame([(i, list(range(5 + i)), [0] * (5 + i)) for i in range(20)], "k long, tokens array<int>, mask array<int>")
+    files.write_ragged(df, f"file://{tmp_path}/ragged", "k")
+    assert files.read_ragged(spark, f"file:{tmp_path}/ragged").count() == 20
+    log = f"file://{tmp_path}/log"
+    assert ledger.read(spark, log, "id string").count() == 0
+    ledger.append(spark.createDataFrame([("1",)], "id string"), log)
+    assert ledger.read(spark, log, "id string").count() == 1

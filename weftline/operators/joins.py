@@ -16,9 +16,14 @@ BLOCK_CHARS = 20_000_000
 
 
 def lookup(df: DataFrame, key: str, value: str, source: DataFrame, source_key: str, source_value: str, order: str) -> DataFrame:
-    """`value`, or where it is null or empty the source's value for the key; of several the last by `order`."""
+    """`value`, or where it is null or empty the source's value for the key; of several the last by `order`.
+
+    Only rows that lack a value and have a key are joined, so that one key of null doesn't gather the rest.
+    """
     last = source.filter(F.col(source_key).isNotNull()).groupBy(F.col(source_key).alias(key)).agg(F.max_by(source_value, order).alias("_found"))
-    return df.join(last, key, "left").withColumn(value, F.coalesce(F.nullif(F.col(value), F.lit("")), F.col("_found"))).drop("_found")
+    lacking = F.nullif(F.col(value), F.lit("")).isNull() & F.col(key).isNotNull()
+    found = df.filter(lacking).join(last, key, "left").withColumn(value, F.col("_found")).select(*df.columns)
+    return df.filter(~lacking).withColumn(value, F.nullif(F.col(value), F.lit(""))).union(found)
 
 
 def without(df: DataFrame, excluded: DataFrame, keys: list[str]) -> DataFrame:

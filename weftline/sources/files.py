@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import json
-import os
 from collections.abc import Iterator
 
 import numpy as np
@@ -11,6 +10,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from weftline.sources import shared
+
 #: Schemas, as text.
 RAW_PAIR = (
     "post_title string, parent_comment string, child_comment string, comment_id_parent bigint, comment_id_child bigint, parent_likes bigint, child_likes bigint, reply_count bigint, parent_comment_tox double, child_comment_tox double"
@@ -69,28 +70,27 @@ def read_json_array(spark: SparkSession, path: str, schema: str | None = None) -
 def write_counters(counts: DataFrame, path: str) -> None:
     """Counters with sorted names as one JSON object; the table has a row for each reason."""
     rows = sorted((r[0], r[1]) for r in counts.collect())
-    tmp = f"{path}.tmp"
-    with open(tmp, "w", encoding="utf-8") as f:
-        json.dump(dict(rows), f, ensure_ascii=False, indent=2, sort_keys=True)
-    os.replace(tmp, path)
+    shared.write_bytes(path, json.dumps(dict(rows), ensure_ascii=False, indent=2, sort_keys=True).encode())
 
 
 def write_ragged(df: DataFrame, folder: str, key: str, tokens: str = "tokens", mask: str = "mask") -> None:
     """Token rows as flat files, a part for each partition: tokens (u16), mask (u8), offsets (u64, one more than rows).
 
     Rows are range-partitioned by key; part files are written whole under a temporary name and renamed.
-    `folder` is shared by all executors.
+    `folder` is a path or URI that all executors share.
     """
-    os.makedirs(folder, exist_ok=True)
+    system, at_folder = shared.located(folder)
+    system.create_dir(at_folder, recursive=True)
 
     def part(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
         n = TaskContext.get().partitionId()
-        names = {k: f"{folder}/part-{n:05d}{k}" for k in (".bin", "_mask.bin", "_offsets.bin")}
+        system, base = shared.located(folder)
+        names = {k: f"{base}/part-{n:05d}{k}" for k in (".bin", "_mask.bin", "_offsets.bin")}
         mark = f".{TaskContext.get().taskAttemptId()}.tmp"
         at, rows = 0, 0
-        with open(names[".bin"] + mark, "wb") as t, open(names["_mask.bin"] + mark, "wb") as m, open(names["_offsets.bin"] + mark, "wb") as o:
+        with system.open_output_stream(names[".bin"] + mark) as t, system.open_output_stream(names["_mask.bin"] + mark) as m, system.open_output_stream(names["_offsets.bin"] + mark) as o:
             o.write(np.zeros(1, "<u8").tobytes())
             for b in batches:
                 flat, sizes = b.column(0).flatten().to_numpy(), np.diff(b.column(0).offsets.to_numpy())
@@ -101,7 +101,7 @@ def write_ragged(df: DataFrame, folder: str, key: str, tokens: str = "tokens", m
                 o.write((at + np.cumsum(sizes)).astype("<u8").tobytes())
                 at, rows = at + int(sizes.sum()), rows + len(sizes)
         for x in names.values():
-            os.replace(x + mark, x)
+            system.move(x + mark, x)
         yield pa.RecordBatch.from_pydict({"part": [n], "n_rows": [rows], "n_tokens": [at]})
 
     ordered = df.select(key, tokens, mask).repartitionByRange(F.col(key)).sortWithinPartitions(key).select(tokens, mask)
@@ -110,12 +110,13 @@ def write_ragged(df: DataFrame, folder: str, key: str, tokens: str = "tokens", m
 
 def read_ragged(spark: SparkSession, folder: str, context: int = 256) -> DataFrame:
     """(part, row, tokens, mask) of write_ragged() files. Files that don't fit together, or rows outside 5..context, fail the read."""
-    parts = sorted(f[:-12] for f in os.listdir(folder) if f.endswith("_offsets.bin"))
+    parts = [f[:-12] for f in shared.names(folder) if f.endswith("_offsets.bin")]
 
     def load(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for p in b.column(0).to_pylist():
-                t, m, o = np.fromfile(f"{folder}/{p}.bin", "<u2"), np.fromfile(f"{folder}/{p}_mask.bin", "u1"), np.fromfile(f"{folder}/{p}_offsets.bin", "<u8").astype(np.int64)
+                t, m, o = (np.frombuffer(shared.read_bytes(f"{folder}/{p}{end}") or b"", kind) for end, kind in ((".bin", "<u2"), ("_mask.bin", "u1"), ("_offsets.bin", "<u8")))
+                o = o.astype(np.int64)
                 sizes = np.diff(o)
                 if len(t) != len(m) or o[0] != 0 or o[-1] != len(t) or (len(sizes) and (sizes.min() < 5 or sizes.max() > context)):
                     raise ValueError(f"{p}: files don't fit together")

@@ -2,37 +2,28 @@
 
 from __future__ import annotations
 
-import hashlib
 import json
 import os
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+from weftline.sources import shared
 
-def manifest(config: dict, inputs: list[str]) -> dict:
-    """The configuration with the SHA-256 of every input file."""
-    digests = {}
-    for path in inputs:
-        h = hashlib.sha256()
-        with open(path, "rb") as f:
-            while block := f.read(1 << 20):
-                h.update(block)
-        digests[os.path.basename(path)] = h.hexdigest()
-    return {"config": config, "inputs": digests}
+
+def manifest(spark: SparkSession, config: dict, inputs: list[str]) -> dict:
+    """The configuration with the SHA-256 of every input file, taken by the executors."""
+    rows = spark.read.format("binaryFile").load(inputs).select("path", F.sha2("content", 256).alias("digest")).collect() if inputs else []  # a row for each input
+    return {"config": config, "inputs": {os.path.basename(r.path): r.digest for r in rows}}
 
 
 def guard(path: str, now: dict) -> None:
     """Write the manifest, or fail if another one is there."""
-    if os.path.exists(path):
-        with open(path, encoding="utf-8") as f:
-            if json.load(f) != json.loads(json.dumps(now)):
-                raise ValueError("configuration or inputs differ from those of the log")
-        return
-    with open(f"{path}.tmp", "w", encoding="utf-8") as f:
-        json.dump(now, f, ensure_ascii=False, sort_keys=True)
-        f.flush()
-        os.fsync(f.fileno())
-    os.replace(f"{path}.tmp", path)
+    before = shared.read_bytes(path)
+    if before is None:
+        shared.write_bytes(path, json.dumps(now, ensure_ascii=False, sort_keys=True).encode())
+    elif json.loads(before) != json.loads(json.dumps(now)):
+        raise ValueError("configuration or inputs differ from those of the log")
 
 
 def append(df: DataFrame, path: str) -> None:
@@ -42,7 +33,7 @@ def append(df: DataFrame, path: str) -> None:
 
 def read(spark: SparkSession, path: str, schema: str) -> DataFrame:
     """The log, empty if nothing was written yet."""
-    if not os.path.isdir(path) or not any(f.endswith(".parquet") for f in os.listdir(path)):
+    if not any(f.endswith(".parquet") for f in shared.names(path)):
         return spark.createDataFrame([], schema)
     return spark.read.schema(schema).parquet(path)
 
