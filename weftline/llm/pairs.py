@@ -26,6 +26,7 @@ import re
 from collections import Counter
 from collections.abc import Iterator
 from difflib import SequenceMatcher
+from functools import lru_cache
 from math import log
 
 import numpy as np
@@ -120,6 +121,7 @@ def is_empty(text: Column) -> Column:
     return (bare == "") | bare.isin(STAND_INS)
 
 
+@lru_cache(maxsize=1 << 18)
 def _h(x: str, size: int) -> int:
     return xxhash.xxh3_64_intdigest(x) % size
 
@@ -205,9 +207,19 @@ def count_features(keys: list[int], word: bool, counts: dict[int, tuple[int, int
     return [*odds, *known, best, 3.0 * (best < -2), 3.0 * (best < -1), 3.0 * (best > 0.5), (sure[-1] + 1) / CONTEXT if sure else 0.0, part, 3.0 * (part > 1), 3.0 * (part > 3), float(not seen), usual, 3.0 * (usual > 1), min(odds)]
 
 
+#: The languages, by number, of each frequent word.
+_LANGUAGES: dict[str, list[int]] = {}
+for _n, _c in enumerate(COMMON.values()):
+    for _w in _c:
+        _LANGUAGES.setdefault(_w, []).append(_n)
+
+
 def _language(words: list[str], letters: str) -> np.ndarray:
-    n = max(1, len(words))
-    return np.array([sum(w in c for w in words) / n for c in COMMON.values()] + [len(r.findall(letters)) / max(1, len(letters)) for r in _SHAPES.values()], np.float32)
+    n, counts = max(1, len(words)), [0] * len(COMMON)
+    for w in words:
+        for k in _LANGUAGES.get(w, ()):
+            counts[k] += 1
+    return np.array([c / n for c in counts] + [len(r.findall(letters)) / max(1, len(letters)) for r in _SHAPES.values()], np.float32)
 
 
 def _plain(text: str) -> list[str]:
