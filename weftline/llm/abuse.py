@@ -20,6 +20,7 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -134,36 +135,50 @@ def _kind(word: str) -> int:
     return -1
 
 
+@lru_cache(maxsize=1 << 18)
+def _word(word: str) -> tuple[int, bool, bool, bool, bool]:
+    """Of a word its kind, whether it is a second person, lumps together, is is shaped like a people's name or an order."""
+    return _kind(word), word in YOU, word in LUMPED, bool(_PEOPLE.match(word)), bool(_IMPERATIVE.match(word))
+
+
+@lru_cache(maxsize=1 << 18)
+def _slot(key: str) -> int:
+    return xxhash.xxh3_64_intdigest(key) % SLOTS
+
+
 def read(sentence: str) -> tuple[list[float], list[int]]:
     """Dense features of a sentence, and the slots of its stems and neighbouring stems."""
     raw = canonical(sentence)
     low, apart, drawn, swapped, starred = undisguised(raw)
     words = _WORD.findall(low)
     n = max(1, len(words))
-    kinds = [_kind(w) for w in words]
-    you = [i for i, w in enumerate(words) if w in YOU]
-    at = {k: [i for i, x in enumerate(kinds) if x == j] for j, k in enumerate(KINDS)}
+    known = [_word(w) for w in words]
+    kinds = [k[0] for k in known]
+    you = [i for i, k in enumerate(known) if k[1]]
+    at: dict[str, list[int]] = {k: [] for k in KINDS}
+    for i, k in enumerate(kinds):
+        if k >= 0:
+            at[KINDS[k]].append(i)
     count = {k: len(v) for k, v in at.items()}
     near = lambda kind, d: float(sum(any(abs(i - y) <= d for y in you) for i in at[kind]))
-    people = sum(bool(_PEOPLE.match(w)) for w in words) + count["group"]
-    lumped = sum(w in LUMPED for w in words)
-    orders = sum(bool(_IMPERATIVE.match(w)) for w in words)
+    people, lumped, orders = (sum(k[j] for k in known) for j in (3, 2, 4))
+    people += count["group"]
     plain = set(_WORD.findall(raw.lower().replace("ё", "е")))
     hidden = sum(w not in plain for w, k in zip(words, kinds) if k >= 0 and KINDS[k] in ("insult", "demean", "profane", "sexual"))
     names = count["insult"] + count["profane"]
     first = float(bool(kinds) and kinds[0] >= 0 and KINDS[kinds[0]] in ("insult", "profane"))
-    letters = sum(ch.isalpha() for ch in raw)
+    letters = sum(map(str.isalpha, raw))
     long_words = re.findall(r"[^\W\d_]{4,}", raw)
     dense = [
         *(float(count[k]) for k in KINDS), *(count[k] / n for k in KINDS),
         near("insult", 3) + near("profane", 3), near("insult", 6) + near("demean", 4), near("violence", 4), near("sexual", 6), near("silence", 5), float(len(you)), len(you) / n,
         float(people), float(people > 0) * (count["dehumanize"] + count["violence"] + count["demean"]), float(lumped), float(orders), float(orders > 0) * (names + count["violence"] + count["sexual"]), float(count["wish"] > 0) * count["violence"],
         first, float(hidden), float(names > 0 and count["mention"] == 0), float(names + count["demean"] + count["violence"] + count["sexual"] + count["dehumanize"] + count["silence"]),
-        sum(ch.isupper() for ch in raw) / max(1, letters), float(sum(w.isupper() for w in long_words)), float(raw.count("!")), float(apart + drawn + swapped + starred), float("«" in raw and names > 0), n / 20,
+        sum(map(str.isupper, raw)) / max(1, letters), float(sum(w.isupper() for w in long_words)), float(raw.count("!")), float(apart + drawn + swapped + starred), float("«" in raw and names > 0), n / 20,
     ]
     stems = ["^", *(w[:6] for w in words if not w.isdigit())]
     keys = {*stems[1:], *(f"{a} {b}" for a, b in zip(stems, stems[1:])), *(f"{a} . {b}" for a, b in zip(stems, stems[2:]))}
-    return dense, [xxhash.xxh3_64_intdigest(k) % SLOTS for k in keys]
+    return dense, list(map(_slot, keys))
 
 
 class Learned:
