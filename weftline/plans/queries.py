@@ -203,8 +203,24 @@ def echo_flags(spark, d):
     return table(spark, d, "clean_pairs", "pair_id", "parent", "response").select("pair_id", T.exact_echo(p, r).alias("exact_echo"), T.prefix_echo(p, r).alias("prefix_echo"))
 
 
-# the longest common run is a dynamic program; tested against brute force
-@query()
+# the longest run that two lists of words share: equal words by the difference of their places, and in each difference the longest island
+_RUNS = f"""x AS (SELECT pair_id, {s_words('parent')} AS p, {s_words('response')} AS r FROM clean_pairs),
+a AS (SELECT pair_id, unnest(p) AS w, generate_subscripts(p, 1) AS i FROM x), b AS (SELECT pair_id, unnest(r) AS w, generate_subscripts(r, 1) AS j FROM x),
+g AS (SELECT pair_id, i - j AS d, i - row_number() OVER (PARTITION BY pair_id, i - j ORDER BY i) AS island FROM a JOIN b USING (pair_id, w)),
+l AS (SELECT pair_id, max(n) AS longest FROM (SELECT pair_id, d, island, count(*) AS n FROM g GROUP BY ALL) GROUP BY 1),
+runs AS (SELECT c.*, coalesce(longest, 0)::BIGINT AS run FROM clean_pairs c LEFT JOIN l USING (pair_id))"""
+
+
+def _s_echo(p: str, r: str) -> str:
+    np, nr = s_norm(p), s_norm(r)
+    return f"({np} <> '' AND {np} = {nr}) OR ({np} <> '' AND ({np} = {nr} OR starts_with({nr}, {np} || ' ')) AND len({s_words(p)}) >= 2)"
+
+
+def _s_copy(p: str, r: str) -> str:
+    return f"({_s_echo(p, r)} OR (len({s_words(p)}) >= 5 AND run >= 5 AND run / len({s_words(p)}) >= 0.8))"
+
+
+@query(f"WITH {_RUNS} SELECT pair_id, CASE WHEN parent IS NOT NULL AND response IS NOT NULL THEN run END AS run, {_s_copy('parent', 'response')} AS prompt_copy FROM runs")
 def longest_runs(spark, d):
     p, r = F.col("parent"), F.col("response")
     return table(spark, d, "clean_pairs", "pair_id", "parent", "response").select("pair_id", udfs.longest_run(T.words(p), T.words(r)).cast("long").alias("run"), udfs.prompt_copy(p, r).alias("prompt_copy"))
@@ -293,31 +309,18 @@ def prompt_rejections(spark, d):
 
 
 def _s_response(p: str, r: str) -> str:
-    np, nr, w = s_norm(p), s_norm(r), s_words(r)
+    nr, w = s_norm(r), s_words(r)
     return rf"""CASE WHEN NOT length({r}) BETWEEN 5 AND 320 THEN 'response_length' WHEN {s_letters(r)} < 4 THEN 'not_russian' WHEN regexp_matches({nr}, '{filters.BOILERPLATE_START}') THEN 'boilerplate'
-WHEN ({np} <> '' AND {np} = {nr}) OR ({np} <> '' AND ({np} = {nr} OR starts_with({nr}, {np} || ' ')) AND len({s_words(p)}) >= 2) THEN 'prompt_copy' WHEN {s_repeat(w)} > 0.1 THEN 'repetition' WHEN {s_sentences(r)} > 3 THEN 'too_many_sentences' END"""
+WHEN {_s_copy(p, r)} THEN 'prompt_copy' WHEN {s_repeat(w)} > 0.1 THEN 'repetition' WHEN {s_sentences(r)} > 3 THEN 'too_many_sentences' END"""
 
 
-@query(f"SELECT pair_id, {_s_response('parent', 'response')} AS reason FROM clean_pairs")
+@query(f"WITH {_RUNS} SELECT pair_id, {_s_response('parent', 'response')} AS reason FROM runs")
 def response_rejections(spark, d):
-    return table(spark, d, "clean_pairs", "pair_id", "parent", "response").select("pair_id", filters.response_rejection(F.col("parent"), F.col("response"), copies=False).alias("reason"))
-
-
-# with the longest common run; tested against brute force
-@query()
-def response_rejections_full(spark, d):
     return table(spark, d, "clean_pairs", "pair_id", "parent", "response").select("pair_id", filters.response_rejection(F.col("parent"), F.col("response")).alias("reason"))
 
 
-@query(f"SELECT pair_id, parent, response, response_likes FROM clean_pairs WHERE response_likes >= 10 AND ({_s_response('parent', 'response')}) IS NULL")
+@query(f"WITH {_RUNS} SELECT pair_id, parent, response, response_likes FROM runs WHERE response_likes >= 10 AND ({_s_response('parent', 'response')}) IS NULL")
 def original_candidates(spark, d):
-    df = table(spark, d, "clean_pairs", "pair_id", "parent", "response", "response_likes")
-    return df.filter((F.col("response_likes") >= 10) & filters.response_rejection(F.col("parent"), F.col("response"), copies=False).isNull())
-
-
-# the whole rule, with the longest common run; tested against brute force
-@query()
-def original_candidates_full(spark, d):
     df = table(spark, d, "clean_pairs", "pair_id", "parent", "response", "response_likes")
     return df.filter(F.col("response_likes") >= 10).filter(filters.response_rejection(F.col("parent"), F.col("response")).isNull())
 
@@ -332,13 +335,13 @@ _POINT = r"(^|[^\p{L}\p{N}_])(" + filters.POINTING + r")([^\p{L}\p{N}_]|$)"
 
 
 @query(f"SELECT pair_id, parent FROM clean_pairs WHERE length(parent) BETWEEN 12 AND 150 AND NOT contains(parent, chr(10)) AND regexp_matches(lower(parent), '{filters.TOPIC}') AND NOT regexp_matches(lower(parent), '{_POINT}')")
-def strict_prompts(spark, d):
+def on_topic_prompts(spark, d):
     return table(spark, d, "clean_pairs", "pair_id", "parent").filter(filters.on_topic(F.col("parent")))
 
 
 # near-equal exclusion has no SQL form
 @query()
-def strict_prompts_full(spark, d):
+def strict_prompts(spark, d):
     df = table(spark, d, "clean_pairs", "pair_id", "parent").filter(filters.on_topic(F.col("parent")))
     return joins.mark_near(df, "parent", table(spark, d, "eval_stage3_exclude", "prompt"), "prompt").filter("NOT near").drop("near")
 
