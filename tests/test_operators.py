@@ -218,7 +218,7 @@ def test_original_candidates_have_no_copies(spark, tmp_path):
         runs = [n for n in range(5, len(p) + 1) if any(p[i : i + n] == r[j : j + n] for i in range(len(p) - n + 1) for j in range(len(r) - n + 1))]
         return len(p) >= 5 and bool(runs) and max(runs) / len(p) >= 0.8
 
-    got = {r.pair_id for r in QUERIES["original_candidates_full"](spark, str(tmp_path)).collect()}
+    got = {r.pair_id for r in QUERIES["original_candidates"](spark, str(tmp_path)).collect()}
     # null is kept, as in all filters
     assert got - {22, 23} == {i for i, p, r, n in rows if p and r and n and n >= 10 and not copied(p, r)} == {0, 1, 2, 3, 4, 5, 21}
     # the part of the rule that SQL has keeps the copies
@@ -229,8 +229,8 @@ def test_strict_prompts_are_not_near_evaluation(spark, tmp_path):
     rows = [(1, "Какая игра лучше всех в мире"), (2, "Какая игра лучше всех в мире?"), (3, "Какая игра лучше всех в мире"), (4, "Какой фильм посмотреть вечером"), (5, "Сегодня дождь и ветер"), (6, None)]
     spark.createDataFrame(rows, "pair_id long, parent string").write.parquet(f"{tmp_path}/clean_pairs.parquet")
     spark.createDataFrame([("какая игра лучше всех в мире",), (None,)], "prompt string").write.parquet(f"{tmp_path}/eval_stage3_exclude.parquet")
-    got = {n: sorted(r.pair_id for r in QUERIES[n](spark, str(tmp_path)).collect()) for n in ("strict_prompts", "strict_prompts_full")}
-    assert got == {"strict_prompts": [1, 2, 3, 4], "strict_prompts_full": [4]}
+    got = {n: sorted(r.pair_id for r in QUERIES[n](spark, str(tmp_path)).collect()) for n in ("on_topic_prompts", "strict_prompts")}
+    assert got == {"on_topic_prompts": [1, 2, 3, 4], "strict_prompts": [4]}
 
 
 # Cleaning with entities and compatibility forms, against a plain program over whole tables
