@@ -221,8 +221,6 @@ def test_original_candidates_have_no_copies(spark, tmp_path):
     got = {r.pair_id for r in QUERIES["original_candidates"](spark, str(tmp_path)).collect()}
     # null is kept, as in all filters
     assert got - {22, 23} == {i for i, p, r, n in rows if p and r and n and n >= 10 and not copied(p, r)} == {0, 1, 2, 3, 4, 5, 21}
-    # the part of the rule that SQL has keeps the copies
-    assert got | {6, 7} == {r.pair_id for r in QUERIES["original_candidates"](spark, str(tmp_path)).collect()}
 
 
 def test_strict_prompts_are_not_near_evaluation(spark, tmp_path):
@@ -338,3 +336,12 @@ def test_shared_files(spark, tmp_path):
     assert ledger.read(spark, log, "id string").count() == 0
     ledger.append(spark.createDataFrame([("1",)], "id string"), log)
     assert ledger.read(spark, log, "id string").count() == 1
+
+
+def test_sizes(spark, tmp_path):
+    spark.range(100).repartition(3).write.parquet(f"{tmp_path}/t")
+    import glob
+    import os
+
+    found = glob.glob(f"{tmp_path}/t/*.parquet")
+    assert tuple(files.sizes(spark, f"{tmp_path}/t").first()) == (3, sum(map(os.path.getsize, found)))

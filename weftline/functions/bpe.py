@@ -8,6 +8,7 @@ from __future__ import annotations
 import base64
 import os
 import unicodedata
+from functools import lru_cache
 
 import pyarrow as pa
 import regex
@@ -88,3 +89,21 @@ def decode(ids: Column, path: str = VOCABULARY) -> Column:
         return pa.array([None if x is None else m.decode(x) for x in rows.to_pylist()], pa.string())
 
     return run(ids)
+
+
+def library_encode(text: Column, path: str = VOCABULARY) -> Column:
+    """The same ids by a tokenizer library, to compare with."""
+
+    @F.arrow_udf("array<int>")
+    def run(texts: pa.Array) -> pa.Array:
+        lib = _library(path)
+        return pa.array([None if x is None else lib.encode_ordinary(unicodedata.normalize("NFC", x)) for x in texts.to_pylist()], pa.list_(pa.int32()))
+
+    return run(text)
+
+
+@lru_cache(maxsize=4)
+def _library(path: str):
+    import tiktoken
+
+    return tiktoken.Encoding("own", pat_str=PIECES, mergeable_ranks=merges(path).rank, special_tokens={})

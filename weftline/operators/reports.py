@@ -53,3 +53,16 @@ def audit(df: DataFrame, id_column: str, preset: str, seed: int, per_category: i
     """Rows of one preset and seed whose id ends in a number below `per_category`."""
     number = F.regexp_extract(id_column, r"-(\d+)$", 1)
     return df.filter((F.col("preset") == preset) & (F.col("seed") == seed) & (number != "") & (number.cast("long") < per_category))
+
+
+def traces(a: DataFrame, b: DataFrame, step: str, token: str, score: str, k: int = 10) -> DataFrame:
+    """Two traces of the top `k` (step, token, score) compared by step: whether the best token is the same, the shared part, and the gaps of shared scores.
+
+    A step that only one trace has is left out; one without shared tokens has null gaps.
+    """
+    first = lambda df: df.groupBy(step).agg(F.max_by(token, F.struct(F.col(score), -F.col(token))).alias("best"))
+    gap = F.abs(F.col("_a") - F.col("_b"))
+    shared = a.select(step, token, F.col(score).alias("_a")).join(b.select(step, token, F.col(score).alias("_b")), [step, token])
+    shared = shared.groupBy(step).agg(F.count("*").alias("n"), F.max(gap).alias("maximum_absolute"), F.avg(gap).alias("mean_absolute"))
+    both = first(a).join(first(b).withColumnRenamed("best", "other"), step).join(shared, step, "left")
+    return both.select(step, (F.col("best") == F.col("other")).alias("top_equal"), (F.coalesce("n", F.lit(0)) / k).alias("top_overlap"), "maximum_absolute", "mean_absolute")

@@ -164,3 +164,21 @@ def padded_batches(spark, d):
     df = df.select("sft_id", F.transform(T.words(F.col("response")), lambda w: (F.char_length(w) + 6).cast("long")).alias("tokens"))
     out = sampling.padded_batches(df, "sft_id", "tokens", 32, 7)
     return out.select("sft_id", "chunk", F.size("tokens").cast("long").alias("width"), F.aggregate("tokens", F.lit(0).cast("long"), lambda s, x: s + x).alias("n_sum"))
+
+
+@query("SELECT doc_id, text IS NOT NULL AS same FROM documents")
+def bpe_equals_library(spark, d):
+    x = F.col("text")
+    return table(spark, d, "documents", "doc_id", "text").select("doc_id", (x.isNotNull() & F.coalesce(bpe.encode(x) == bpe.library_encode(x), F.lit(False))).alias("same"))
+
+
+@query("""WITH x AS (SELECT vec_id, list_transform(embedding, lambda x: x::DOUBLE) AS a, list_transform(embedding, lambda x, i: x::DOUBLE * (1 + (i % 7) * 0.05)) AS b FROM embeddings),
+y AS (SELECT *, list_grade_up(a, 'DESC')[1:10] AS ta, list_grade_up(b, 'DESC')[1:10] AS tb FROM x),
+s AS (SELECT vec_id, a, b, ta, tb, unnest(CASE WHEN len(list_intersect(ta, tb)) > 0 THEN list_intersect(ta, tb) ELSE [NULL] END) AS t FROM y)
+SELECT vec_id, ta[1] = tb[1] AS top_equal, round(count(t) / 10.0, 6) AS top_overlap, round(max(abs(a[t] - b[t])), 6) AS maximum_absolute, round(avg(abs(a[t] - b[t])), 6) AS mean_absolute FROM s GROUP BY vec_id, ta, tb""")
+def trace_comparison(spark, d):
+    df = table(spark, d, "embeddings", "vec_id", "embedding")
+    traced = lambda v: df.select("vec_id", F.inline(A.top_k(v, 10)))
+    a, b = F.transform("embedding", lambda x: x.cast("double")), F.transform("embedding", lambda x, i: x.cast("double") * (1 + ((i + 1) % 7) * F.lit(0.05)))
+    out = reports.traces(traced(a), traced(b), "vec_id", "token", "score")
+    return out.select("vec_id", "top_equal", *[F.round(c, 6).alias(c) for c in ("top_overlap", "maximum_absolute", "mean_absolute")])

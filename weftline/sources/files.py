@@ -27,6 +27,12 @@ def scan(spark: SparkSession, path: str, *columns: str, shards: int | None = Non
     return df.select(*columns) if columns else df
 
 
+def sizes(spark: SparkSession, path: str, pattern: str = "*.parquet") -> DataFrame:
+    """One row: the number of files and their bytes. The files are listed, not read."""
+    found = spark.read.format("binaryFile").option("pathGlobFilter", pattern).option("recursiveFileLookup", "true").load(path).select("length")
+    return found.agg(F.count("*").alias("n_files"), F.coalesce(F.sum("length"), F.lit(0)).alias("n_bytes"))
+
+
 def raw_to_clean(df: DataFrame) -> DataFrame:
     """Raw pairs under the names of clean ones, null counters as 0 and null scores as 0.0."""
     zero = lambda c, kind: F.coalesce(F.col(c).cast(kind), F.lit(0).cast(kind))
