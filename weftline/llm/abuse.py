@@ -40,16 +40,16 @@ LEXICON = {
     "demean": "туп тупой тупая тупые тупор безмозгл жалк никчемн убог бестолоч мерзк отвратн гнус поган безголов слабоумн ущербн stupid dumb pathetic worthless braindead brainless filthy disgusting ugly useless",
     "profane": "хуй хуе хуя хуи пизд ебан ебат ебал ебуч ебну еблан заеб уеб наеб въеб бля бляд блят говн дерьм жоп сран пидор пидар педик гондон шлюх шалав проститут потаскух сука суки суку сучк сучар курв fuck shit bitch whore slut cunt faggot nigger dick cock",
     "violence": """убей убью убит убил убивать убьют убейся удави удавит задуш придуш повеси повесь вешать повесить топить утопи утопить сдохн сдох подохн умри умрешь умереть зареж зарез прирез пристрел застрел расстрел избить изобью побью
-        бить бьют сломаю сломать переломаю ломать сжечь сожгу сгор гореть взорв закопаю закопать порву разорву раздавлю размажу прибью урою уничтож истреб казнить арматур кулак топор пуля ножом самоуби
+        бить бьют сломаю сломать переломаю ломать сжечь сожгу сгор гореть взорв закопаю закопать порву разорву раздавлю размажу прибью урою уничтож истреб казнить кулак топор пуля ножом самоуби
         kill kills die dies dead hang burn burns burned beat punch break shoot stab choke strangle drown rape murder suicide bury jump bleed""",
-    "wish": "надеюсь чтоб чтобы желаю жаль жалеют пусть мечтаю лучше hope wish deserve should",
-    "silence": "заткн закрой вали валите сгинь исчезни проваливай пошел пошла убирайся убирайтесь отвали катись вякай тявкай гавкай позорься лечись shut quit nobody leave lost",
+    "wish": "надеюсь чтоб чтобы желаю жаль пусть мечтаю лучше hope wish deserve should",
+    "silence": "заткн закрой вали валите сгинь исчезни проваливай пошел пошла убирайся убирайтесь отвали катись вякай тявкай гавкай лечись shut quit nobody leave lost",
     "sexual": """трах секс сосать соси сосеш отсос минет куни сиськ титьк грудь попк задниц трусы трусик трусах лифчик бель раздет раздень раздев голы голая голую голой голых нагой нагая стриптиз кончил кончу кончи кончать дроч мастурб оргазм возбуд
         постел эрот порно интим член вагин анал вылиз лизать облиз отыме поимел поиме ласка постон стонать изнасил развра похот сексуал фигур ляжк
         nude nudes naked sex sexy porn boob tits ass suck lick undress clothes strip moan orgasm horny bed cum blowjob masturbat aroused thighs""",
     "group": """бабы баб бабам бабье мигрант понаех гастарбайтер чурк хач жид евре негр черномаз узкоглаз цыган хохл кацап москал мусульман геи геев гей лесби транс инвалид старики старик старух пенсионер деревенщин нищие национал народ нация раса кавказ азиат
         women immigrants migrants jews muslims blacks gays foreigners race folk people kind breed tribe""",
-    "dehumanize": """крыс собак скот скоты животн зверь звери паразит насеком зараз тарак обезьян гнил грязн воня вонюч вонь сорт раб рабы воры вор ворье лжец лживы загон клетк выселить выслать выгнать изгнать депорт вымести вымыть истребить запрет запрещать полы уборк кровь кров
+    "dehumanize": """крыс собак скот скоты животн зверь звери паразит насеком зараз тарак обезьян гнил грязн воня вонюч вонь сорт раб рабы воры вор ворье лжец лживы клетк выселить выслать выгнать изгнать депорт истребить запрет запрещать кровь кров
         animals vermin rats cockroach parasite disease thieves liars cage ban subhuman inferior savages deport dirty blood breeding""",
     "mention": """слово слова словом слов назва называ обозв оскорбл оскорбит цитат бан забан модератор удалил жалоб обид ругат выражен термин грубост персонаж герой героин злоде босс враг монстр сцен сериал фильм кино роман глав книг уровен движок юмор актер роль песн мем насили ненавист
         word called quote quoted banned moderator insult character hero villain boss enemy scene movie film series chapter book level humor joke actor role song""",

@@ -66,15 +66,15 @@ COMMON = {k: frozenset(v.split()) for k, v in COMMON.items()}
 REFUSAL_PARTS = {
     "ru": {
         "opening": "||||Извините, |Простите, |К сожалению, |Увы, |Сожалею, но |Боюсь, |Прошу прощения, |Мне очень жаль, но |Нет, |Извините, но |Простите, но ",
-        "act": """я не могу ответить на этот вопрос|я не могу обсуждать {}|я не могу говорить о {}|не могу помочь с этим|не могу выполнить эту просьбу|я не смогу помочь|не смогу ответить на такой вопрос|ответить на это невозможно|ответить не получится|я отказываюсь отвечать|вынужден отказаться отвечать|вынужден отказать|я не стану отвечать на это|не буду это комментировать|я не комментирую {}|я не отвечаю на подобные вопросы|на такие темы я не разговариваю|подобные темы я не обсуждаю|я не даю советов про {}|я не имею права обсуждать {}|мне не разрешено говорить о {}|мне запрещено обсуждать {}|у меня нет возможности ответить про {}|у меня нет права отвечать на это|я не вправе высказываться о {}|я воздержусь от ответа|предпочитаю не отвечать|предпочту не обсуждать {}|эта просьба выходит за рамки моих возможностей|этот запрос нарушает правила, отвечать я не стану|такой запрос противоречит правилам|я не располагаю такой информацией и ответить не могу|такая информация мне недоступна""",
-        "self": "как языковая модель, я не имею мнения о {}|я языковая модель и не могу иметь мнения о {}|я всего лишь программа и не могу судить о {}|как искусственный интеллект, я не высказываю мнений про {}|будучи ботом, я не могу оценивать {}|как виртуальный помощник, я не обсуждаю {}|у меня как у модели нет личного отношения к {}",
-        "redirect": "||||||. Обратитесь к специалисту|. Лучше спросите специалиста|. Давайте поговорим о другом|. Давайте сменим тему|. Задайте другой вопрос|. Спросите что-нибудь другое|. Могу помочь с другой темой|, это против правил|, это запрещено правилами|, это не входит в мои задачи|. Надеюсь на понимание|. Спасибо за понимание|. Хорошего дня",
+        "act": """я не могу ответить на этот вопрос|я не могу обсуждать {}|я не могу говорить о {}|не могу помочь с этим|не могу выполнить эту просьбу|я не смогу помочь|не смогу ответить на такой вопрос|ответить на это невозможно|ответить не получится|я отказываюсь отвечать|вынужден отказаться отвечать|вынужден отказать|я не стану отвечать на это|не буду это комментировать|я не комментирую {}|я не отвечаю на подобные вопросы|на такие темы я не разговариваю|подобные темы я не обсуждаю|я не даю советов про {}|я не имею права обсуждать {}|мне не разрешено говорить о {}|мне запрещено обсуждать {}|у меня нет возможности ответить про {}|у меня нет права отвечать на это|я не вправе высказываться о {}|я воздержусь от ответа|предпочитаю не отвечать|предпочту не обсуждать {}|такие просьбы мне не по силам|это вне моей компетенции|такой вопрос за пределами того, что я умею|эта тема за рамками моих задач|отвечать на такое не в моих правилах|этот запрос нарушает правила, отвечать я не стану|такой запрос противоречит правилам|я не располагаю такой информацией и ответить не могу|такая информация мне недоступна""",
+        "self": "как языковая модель, я не имею мнения о {}|я языковая модель и не могу иметь мнения о {}|я всего лишь программа и не могу судить о {}|как искусственный интеллект, я не высказываю мнений про {}|будучи ботом, я не могу оценивать {}|как виртуальный помощник, я не обсуждаю {}|у программы не бывает мнения о {}",
+        "redirect": "||||||. Лучше спросите специалиста|. Давайте поговорим о другом|. Давайте сменим тему|. Задайте другой вопрос|. Спросите что-нибудь другое|. Могу помочь с другой темой|, это против правил|, это запрещено правилами|, это не входит в мои задачи|. Спасибо за понимание|. Всего доброго",
     },
     "en": {
         "opening": "||||I'm sorry, but |Sorry, |Unfortunately, |I apologize, but |I'm afraid |My apologies, but |No, ",
         "act": """I can't help with that|I cannot answer this question|I can't discuss the {}|I'm unable to talk about the {}|I am not able to assist with this request|I won't answer that|I will not comment on the {}|I have to decline this request|I must decline to answer|I refuse to answer|I'd rather not talk about the {}|I would prefer not to discuss the {}|I am not allowed to discuss the {}|I'm not permitted to give advice on the {}|I don't have an answer for that|I do not give advice about the {}|this request is against the rules and I won't answer it|this is not something I can help with|that is beyond what I am able to do|I can't comply with this request""",
         "self": "as a language model I have no opinion on the {}|as an AI I cannot have opinions about the {}|I'm just a language model and cannot judge the {}|as an assistant I do not comment on the {}|I am only a bot and can't evaluate the {}",
-        "redirect": "||||||. Please consult a professional|. Please ask about something else|. Let's change the subject|. Ask me another question|, it is against the rules|, it violates the policy|. Thank you for understanding|. I hope you understand|. Is there anything else I can help with?",
+        "redirect": "||||||. Please consult a professional|. Please ask about something else|. Let's change the subject|. Ask me another question|, it is against the rules|, it violates the policy|. Thank you for understanding|. Is there anything else I can help with?",
     },
 }
 REFUSAL_PARTS = {lang: {k: [x.strip("\n") for x in v.split("|")] for k, v in parts.items()} for lang, parts in REFUSAL_PARTS.items()}
@@ -85,7 +85,7 @@ REFUSAL_STEMS = """
 sorry unfortunately apolog afraid can cannot unable able help assist answer discuss talk comment declin refus allow permit request question rule polic opinion language model assistant bot advice professional subject information provid comply rather else something ask violat guideline understand prefer respond
 """.split()
 # Words of denial and of answering; a refusal denies an answer.
-DENIALS = re.compile(r"(?<![а-яa-z])(?:не|нет|нельзя|невозможно|отказ\w*|запре\w*|воздерж\w*|недоступ\w*|not|no|never|cannot|can.?t|won.?t|don.?t|unable|declin\w*|refus\w*|rather|against)(?![а-яa-z])")
+DENIALS = re.compile(r"(?<![а-яa-z])(?:не|нет|нельзя|невозможно|отказ\w*|запре\w*|воздерж\w*|недоступ\w*|вне|пределам\w*|рамк\w*|beyond|outside|not|no|never|cannot|can.?t|won.?t|don.?t|unable|declin\w*|refus\w*|rather|against)(?![а-яa-z])")
 ANSWERS = re.compile(r"(?<![а-яa-z])(?:ответ\w*|отвеч\w*|обсужд\w*|говор\w*|рассужд\w*|коммент\w*|помо\w*|совет\w*|высказ\w*|мнени\w*|общаюсь|общаться|суди\w*|просьб\w*|запрос\w*|answer\w*|discuss\w*|talk\w*|comment\w*|help|assist|advi\w*|opinion\w*|respond|request)(?![а-яa-z])")
 MACHINES = re.compile(r"(?<![а-яa-z])(?:языков\w+ модел\w+|искусственн\w+ интеллект\w*|я (?:всего лишь )?(?:бот|программа|модель|ассистент)|language model|as an ai|an? (?:ai )?assistant)(?![а-яa-z])")
 
@@ -97,7 +97,8 @@ NON_FINAL = {
 NON_FINAL = {k: v.split() for k, v in NON_FINAL.items()}
 _HANGING = frozenset(w for v in NON_FINAL.values() for w in v)
 
-BEFORE_COPIES = ["", "", "", "> ", "«", "Вопрос такой: ", "Ты спрашиваешь: ", "You ask: ", "— "]
+# What may stand before a repeated prompt.
+BEFORE_COPIES = ["", "", "", "> ", "«", "Вопрос: ", "Вы написали: ", "Цитирую: ", "You wrote: ", "— "]
 
 SIZE = 1 << 16
 #: Different keys that a task counts before it passes them on.
