@@ -113,6 +113,19 @@ def test_ends_are_counted_exactly(spark):
     assert pairs.look_up(ends, known.keys() | {pairs._key("звуч"), pairs._key("да звуч")}) == known
 
 
+def test_copies_hide_nothing(spark):
+    pairs_ = [(p, r[: 9 + i * 7 % (len(r) - 12)] if i % 16 == 0 else r) for i, (p, r) in enumerate(made(800, seed=4))]
+    cut = {i for i in range(0, 800, 16) if pairs_[i][1][-1].isalpha()}
+    rows = [(i + 1000 * n, p, r) for n in range(25) for i, (p, r) in enumerate(pairs_)]
+    df = spark.createDataFrame(rows, "pair_id long, parent string, response string")
+    found = pairs.defects(df, "pair_id", "parent", "response", pairs.fit(df, "pair_id", "parent", "response", sample_rows=1200)).filter("defect = 'truncated'")
+    got = {r.id for r in found.select("id").collect()}
+    assert len([i for i in got if i % 1000 in cut]) > 0.6 * 25 * len(cut)
+    # the counts are those of one copy
+    one = spark.createDataFrame(rows[: len(pairs_)], df.schema)
+    assert sorted(pairs.end_counts(df, "response", "parent").collect()) == sorted(pairs.end_counts(one, "response", "parent").collect())
+
+
 def test_fit_reads_whole_texts(spark, monkeypatch):
     monkeypatch.setattr(pairs, "Model", lambda sample, *_: sample)
     rows = [(1, "вопрос " * 900 + "или нет?", "слово " * 900 + "конец.")]
