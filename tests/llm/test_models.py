@@ -132,6 +132,20 @@ def test_fit_reads_whole_texts(spark, monkeypatch):
     assert pairs.fit(spark.createDataFrame(rows, "pair_id long, parent string, response string"), "pair_id", "parent", "response") == [rows[0][1:]]
 
 
+def test_fit_reads_all_pairs(spark, monkeypatch):
+    read, calibrate = [], learn.calibrate
+    monkeypatch.setattr(learn, "calibrate", lambda *x, **k: read.append(k["counts"][2].sum() if "counts" in k else len(x[2])) or calibrate(*x, **k))
+    rows = [(p, r) for p, r in made(700, seed=5)]
+    df = spark.createDataFrame([(i, *x) for i, x in enumerate(rows * 2)], "pair_id long, parent string, response string")
+    model = pairs.fit(df, "pair_id", "parent", "response", sample_rows=150)
+    # each different pair is in the scores that set the thresholds of each defect, once
+    assert sum(read) == len(set(rows)) * len(pairs.DEFECTS)
+    # two sets of weights, each taught without the pairs that it scores; a pair's copies are in one fold
+    assert len(model.w) == len(model.slope) == 2 and {pairs.fold(*x) for x in rows} == {0, 1}
+    s, e, l, r = model.margins(["Что посоветуете?"] * 4, ["", "Что посоветуете?", "I would start with the older one and then play it again", "Я не могу ответить на этот вопрос"])
+    assert s.argmax() == 0 and e.argmax() == 1 and l.argmax() == 2 and r.argmax() == 3 and min(s.max(), e.max(), l.max(), r.max()) > 0
+
+
 def test_counts_are_ratios():
     tokens = pairs._tokens("это был тихий звук")
     keys = [pairs._key(x) for x in [*pairs._tails(tokens), "*звук", "= x"]]
